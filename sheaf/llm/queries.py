@@ -17,8 +17,22 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2).withColumnRenamed("id", "doc_id")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
 }
 
 ORACLE_SQL = {
