@@ -29,10 +29,17 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.flac import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_flac_media": op10_flac_media,
 }
 
 ORACLE_SQL = {
