@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(key: str, by: int) -> Column:
+    """crc32 of the identifier as text, modulo `by`; a null identifier counts as remainder -1 and is never held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % by, F.lit(-1))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.exact_dedup import exact_dedup
 
@@ -29,6 +34,20 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_centroid_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.language_id import predict_languages
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 5) == 0
+    return predict_languages(docs, docs.filter(~held_out)).withColumn("held_out", held_out)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.flac import digests
 
@@ -39,6 +58,8 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_nearest_centroid_language": op8_nearest_centroid_language,
+    "op9_license_scan": op9_license_scan,
     "op10_flac_media": op10_flac_media,
 }
 
