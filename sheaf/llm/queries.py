@@ -15,6 +15,14 @@ def remainder(key: str, by: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % by, F.lit(-1))
 
 
+def op1_class_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.brown_lm import score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 7) == 2
+    return score_texts(docs, docs.filter(~held_out)).withColumn("held_out", held_out)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.exact_dedup import exact_dedup
 
@@ -55,6 +63,7 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_class_ngram_scores": op1_class_ngram_scores,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
