@@ -23,6 +23,14 @@ def op1_class_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, docs.filter(~held_out)).withColumn("held_out", held_out)
 
 
+def op2_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.toxicity import score_texts, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = train(docs, labels.filter(remainder("doc_id", 3) != 1))
+    return score_texts(docs, machine).withColumn("held_out", remainder("doc_id", 3) == 1)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.exact_dedup import exact_dedup
 
@@ -64,6 +72,7 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_class_ngram_scores": op1_class_ngram_scores,
+    "op2_string_kernel_toxicity": op2_string_kernel_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
