@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sheaf.llm.mixing import drawn, mixing_sql
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,6 +33,12 @@ def op2_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(docs, machine).withColumn("held_out", remainder("doc_id", 3) == 1)
 
 
+def op3_edit_aware_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sheaf.llm.edit_counts import recount
+
+    return recount(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.exact_dedup import exact_dedup
 
@@ -38,6 +46,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
+def op5_mixing_by_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drawn(table(spark, sf_dir, "documents"))
+    return out.select("__row.doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sheaf.llm.near_dedup import near_duplicates
 
@@ -73,7 +86,9 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_class_ngram_scores": op1_class_ngram_scores,
     "op2_string_kernel_toxicity": op2_string_kernel_toxicity,
+    "op3_edit_aware_counts": op3_edit_aware_counts,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_mixing_by_raking": op5_mixing_by_raking,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_nearest_centroid_language": op8_nearest_centroid_language,
@@ -82,6 +97,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_mixing_by_raking": mixing_sql(),
     "op4_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
