@@ -6,10 +6,12 @@ own (optimal densification), so signatures of short texts keep independent bins.
 buckets: a pair of similarity 0.8 misses all of them with probability (1 - 0.8 ** 6) ** 40, 5e-6.
 
 Documents of equal sets are one class from the start. Buckets propose edges in the shape of stars: their first member
-against the others. An edge is a link only if the full sets confirm it. Where a bucket still holds several components
-after that, further members become hubs, those of the smallest components first, each against members of other
-components only, until all members of a bucket that were no hub yet lie in one component. So every pair that shares a
-bucket is either confirmed, refuted or already connected, while a bucket of one group costs as many edges as members.
+against the others; an edge is a link only if the full sets confirm it. Where a bucket still holds several components,
+a few members of its largest one are tried against the members outside it, and if that leaves several components, all
+outsiders meet the members of other components, in blocks of bounded size: a pair whose signatures or short hashes are
+too far apart for the similarity asked is refuted there, the others are confirmed or refuted on the full sets. So
+every pair that shares a bucket is confirmed, refuted or already connected, while a bucket of one group costs as many
+edges as it has members.
 Components come from alternating large-star and small-star steps over written tables; nothing goes to the driver but
 counts.
 
@@ -38,8 +40,10 @@ BINS = BANDS * ROWS
 #: Similarity in percent from which documents are linked, and words of a shingle.
 PERCENT = 80
 WORDS = 5
-#: Members of a bucket that become hubs in the first round after the stars; four times as many in each later one.
-HUBS = 8
+#: Members of a bucket's largest component that are tried against its other members after the first stars.
+HUBS = 4
+#: Members of a bucket in one block, and by how many standard deviations a signature may fall short of a similarity.
+BLOCK, DEVIATIONS = 256, 4.7
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -138,6 +142,50 @@ def _sets(words: int):
     return run
 
 
+def _short_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sixteen bits of every bin of the signature, and thirty-two bits of every hash of the set."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("hashes")]
+        short = pa.array([(signature(x) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for x in sets], pa.binary())
+        low = pa.array([np.unique((x & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for x in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), short, low], names=["cls", "short", "low"])
+
+
+def _near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sets of 32-bit hashes leave a similarity of `percent` possible, with room for hashes that fall together."""
+    total = len(x) + len(y)
+    both = len(np.intersect1d(x, y, assume_unique=True)) + 2 + 4 * total * total // (1 << 32)
+    return 100 * both >= percent * (total - both)
+
+
+def _compare(percent: int):
+    """Pairs of one block: a probe and a member of another component that meet in no earlier band, are of fitting sizes,
+    whose signatures agree in nearly as many bins as `percent` asks for, and whose sets of short hashes do too."""
+    least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / BINS) ** 0.5
+
+    def run(table: pa.Table) -> pa.Table:
+        probe = np.array(table["probe"].to_pylist())
+        cls, comp, n = (np.array(table[c].to_pylist(), object if c != "n" else np.int64) for c in ("cls", "comp", "n"))
+        outside = np.array(table["outside"].to_pylist())
+        short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint16).reshape(-1, BINS)
+        band = table["band"][0].as_py() if len(cls) else 0
+        low = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["low"]]
+        members = np.flatnonzero(~probe)
+        a, b = [], []
+        for i in np.flatnonzero(probe) if len(members) else ():
+            equal = short[members] == short[i]
+            hits = np.flatnonzero((equal.sum(1) >= least * BINS) & (comp[members] != comp[i]))
+            meets = equal[hits].reshape(-1, BANDS, ROWS).all(2)
+            for m in members[hits[(meets.argmax(1) == band) & meets[:, band]]]:
+                fits = 100 * min(n[i], n[m]) >= percent * max(n[i], n[m])
+                if fits and (not outside[m] or cls[i] < cls[m]) and _near(low[i], low[m], percent):
+                    a.append(min(cls[i], cls[m]))
+                    b.append(max(cls[i], cls[m]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +252,7 @@ class NearDuplicates:
         return both.mapInArrow(_confirm(self.percent), "a binary, b binary")
 
     def _link(self) -> None:
-        buckets = self.classes.select("cls", "n", F.explode("bands").alias("key"))
+        buckets = self.classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
         shared = buckets.groupBy("key").count().filter("count > 1").select("key")
         self.members = written(buckets.join(shared, "key"), "near-members")
         self._gather_sets()
@@ -212,37 +260,56 @@ class NearDuplicates:
         pairs = self.members.join(stars, "key").filter(F.col("cls") != F.col("hub.cls"))
         pairs = pairs.filter(self._size_fits("n", "hub.n")).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"))
         tested = written(pairs.distinct(), "near-pairs")
-        hubs = written(stars.select("key", F.col("hub.cls").alias("cls")), "near-hubs")
-        self.links = written(self._confirmed(tested), "near-links")
-        self.roots = connected(self.links)
-        limit = HUBS
-        left = self.members.join(hubs, ["key", "cls"], "left_anti")
-        while True:
-            left = self._open(left)
-            if left.isEmpty():
+        self.roots = connected(self._confirmed(tested))
+        for propose in (self._more_stars, self._blocks):
+            rows = self._open()
+            if rows.isEmpty():
                 return
-            by_size = left.groupBy("key", "comp").agg(F.count("*").alias("c"))
-            ranked = left.join(by_size, ["key", "comp"])
-            order = Window.partitionBy("key").orderBy("c", "comp", "cls")
-            hubs = written(ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("rank", "c"), "near-hubs")
-            named = hubs.select("key", F.col("cls").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"))
-            pairs = left.join(named, "key").filter(F.col("comp") != F.col("hub_comp")).filter(self._size_fits("n", "hub_n"))
-            pairs = pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
-            pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+            pairs = written(propose(rows).distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
             more = written(self._confirmed(pairs), "near-links")
             if not more.isEmpty():
-                self.links = self.links.unionByName(more)
-                self.roots = connected(self.roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+                known = self.roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+                self.roots = connected(known.unionByName(more))
             tested = tested.unionByName(pairs)
-            left = left.select("key", "cls", "n").join(hubs.select("key", "cls"), ["key", "cls"], "left_anti")
-            limit *= 4
 
-    def _open(self, left: DataFrame) -> DataFrame:
-        """Members that were no hub yet, of buckets in which such members lie in several components."""
-        left = left.select("key", "cls", "n").join(self.roots.withColumnRenamed("node", "cls"), "cls", "left")
-        left = left.select("key", "cls", "n", F.coalesce("root", "cls").alias("comp"))
-        several = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        return written(left.join(several, "key"), "near-open")
+    def _open(self) -> DataFrame:
+        """Members of buckets that still hold several components, with their component, whether that is not the bucket's
+        largest (an outsider), and the bucket's numbers of members and of outsiders."""
+        rows = self.members.join(self.roots.withColumnRenamed("node", "cls"), "cls", "left")
+        rows = rows.select("key", "band", "cls", "n", F.coalesce("root", "cls").alias("comp"))
+        sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
+        sizes = sizes.agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size")).filter("top.c < size")
+        rows = rows.join(sizes, "key").withColumn("outside", F.col("comp") != F.col("top.comp"))
+        rows = rows.withColumn("outsiders", F.col("size") - F.col("top.c")).drop("top")
+        return written(rows, "near-open")
+
+    def _more_stars(self, rows: DataFrame) -> DataFrame:
+        """Pairs of a few members of each bucket's largest component with its outsiders."""
+        order = Window.partitionBy("key").orderBy("cls")
+        hubs = rows.filter("not outside").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= HUBS)
+        hubs = hubs.select("key", F.col("cls").alias("hub"), F.col("n").alias("hub_n"))
+        pairs = rows.filter("outside").join(hubs, "key").filter(self._size_fits("n", "hub_n"))
+        return pairs.select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
+
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        """Pairs of outsiders with members of other components whose signatures leave a similarity of `percent` possible.
+
+        Buckets are cut into blocks of about BLOCK members and compared block by block, so that no task holds a bucket.
+        """
+        short = self.sets.mapInArrow(_short_signatures, "cls binary, short binary, low binary")
+        rows = rows.join(short, "cls")
+        across, down = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("long") for c in ("size", "outsiders"))
+        spread = F.pmod(F.xxhash64("cls"), F.lit(1 << 30))
+        first = F.lit(0).cast("long")
+        named = ["band", "cls", "n", "comp", "outside", "short", "low"]
+        left = rows.filter("outside").select(
+            "key", F.pmod(spread, down).alias("i"), F.explode(F.sequence(first, across - 1)).alias("j"), F.lit(True).alias("probe"), *named
+        )
+        right = rows.select(
+            "key", F.explode(F.sequence(first, down - 1)).alias("i"), F.pmod(spread, across).alias("j"), F.lit(False).alias("probe"), *named
+        )
+        cells = left.unionByName(right)
+        return cells.groupBy("key", "i", "j").applyInArrow(_compare(self.percent), "a binary, b binary")
 
     def groups(self) -> DataFrame:
         """(cls, component_id) of every class: the least identifier of its component."""
@@ -265,7 +332,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The input rows, with all their columns, of documents that are the first of their component."""
-    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("id").alias("__gone"))
-    rows = packed(docs)
-    out = rows.join(gone.distinct(), F.col(f"{ROW}.doc_id").cast("long") == F.col("__gone"), "left_anti")
-    return unpacked(out)
+    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("id").alias("__gone")).distinct()
+    gone = written(gone, "near-gone")
+    rows = packed(docs).withColumn("__id", F.col(f"{ROW}.doc_id").cast("long"))
+    rows = maybe_in(rows, "__id", written(key_filter(gone, "__gone"), "near-filter"))
+    hit = rows.filter("__hit").join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    return unpacked(rows.filter("not __hit").unionByName(hit))
