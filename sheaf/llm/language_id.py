@@ -23,11 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.common import written
+
 DIMENSIONS = 4096
 #: Texts of each language from which centroids are clustered, centroids of a language, and rounds of k-means.
 SAMPLE, CENTROIDS, ROUNDS = 1000, 4, 12
 #: Share of a language's sample that may lie beyond the distance of rejection.
 BEYOND = 0.002
+#: Numbers of texts are broadcast for up to this many languages.
+BROADCAST_LANGUAGES = 10_000
 #: Sharpness of the score: the weight of the best language among all, by cosine.
 SHARPNESS = 25.0
 
@@ -91,7 +95,9 @@ class CentroidModel:
         seen = {row.cell: row.n for row in cells.collect()}  # DIMENSIONS rows
         rows = seen.pop(-1, 0)
         self.idf = np.log((rows + 1) / (np.array([seen.get(i, 0) for i in range(DIMENSIONS)]) + 1)).astype(np.float32) + 1
-        sizes = learn.groupBy("lang").agg(F.count("*").alias("size"))
+        sizes = written(learn.groupBy("lang").agg(F.count("*").alias("size")), "language-sizes")
+        if sizes.count() <= BROADCAST_LANGUAGES:  # else the join deals the texts out by language
+            sizes = F.broadcast(sizes)
         order = F.xxhash64("text")
         share = (F.shiftrightunsigned(order, 11).cast("double")) / float(1 << 53)
         # about `sample` texts of each language, copies counted once: the groups are bounded whatever the input's size
