@@ -49,7 +49,7 @@ def pii_phone(t):
 
 
 @query("""
-    WITH c AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(' ' || text || ' ', '[^A-Za-z0-9]([0-9](?:[ -]?[0-9]){12,18})[^A-Za-z0-9]', 1)), '[^0-9]', '', 'g') AS hit FROM documents),
+    WITH c AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ', '[^A-Za-z0-9]([0-9](?:(?:  |-)?[0-9]){12,18})[^A-Za-z0-9]', 1)), '[^0-9]', '', 'g') AS hit FROM documents),
     l AS (SELECT doc_id, hit, list_sum(list_transform(range(0, length(hit)), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN hit[length(hit) - i]::INT > 4 THEN hit[length(hit) - i]::INT * 2 - 9 ELSE hit[length(hit) - i]::INT * 2 END ELSE hit[length(hit) - i]::INT END)) AS s FROM c)
     SELECT doc_id, count(*) AS n FROM l WHERE s % 10 = 0 GROUP BY 1""")
 def pii_card(t):
