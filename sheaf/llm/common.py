@@ -1,42 +1,20 @@
-"""What the operators of this subpackage share: scratch tables, row packing and a fixed-size membership filter."""
+"""What the operators of this subpackage share: row packing and a fixed-size membership filter."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.scratch import scratch_root, written
+
+__all__ = ["ROW", "SPACE", "key_filter", "maybe_in", "packed", "scratch_root", "unpacked", "written"]
+
 #: White space of the contracts, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Column that holds a whole input row while an operator adds columns of its own, so that names never clash.
 ROW = "__row"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir, or a folder of our own where it is unset on a local master."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if "dir" not in _OWN:
-            _OWN["dir"] = tempfile.mkdtemp(prefix="sheaf-")
-        root = _OWN["dir"]
-    return root.rstrip("/")
-
-
-_OWN: dict[str, str] = {}
-
-
-def written(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back; cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/sheaf/{label}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def packed(docs: DataFrame) -> DataFrame:
     """The input with one more column, ROW, that holds all input columns; the others are dropped but stay reachable through it."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
