@@ -46,7 +46,9 @@ CHANCE, PENALTY = 1e-7, 1000.0
 #: Share of toxic texts among those that hold a marking string, at least, and worst words of a text that count.
 MARKED, TOP = 0.35, 3
 #: Words whose scores a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Texts worked through at once.
+SLICE = 64
 #: Values below and above these count as these.
 FLOOR, CEILING = -1.5, 2.0
 
@@ -70,7 +72,7 @@ def words_of(text: str | None) -> list[bytes]:
 _TO_SPACE = bytes(32 if b in _DROPPED else b for b in range(256))
 
 
-@lru_cache(maxsize=100_000)
+@lru_cache(maxsize=20_000)
 def folded(word: bytes) -> str:
     """Letters a to z, and one sign for any other character; accents and look-alikes are folded."""
     text = word.decode(errors="replace").translate(_LOOKALIKES)
@@ -101,8 +103,9 @@ def features(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         codes.append(a << 10 | b << 5 | c)
         weights.append(np.where(c > 0, DECAY ** (k + 1), 0.0).astype(np.float32))
     codes, weights = np.concatenate(codes, 1), np.concatenate(weights, 1)
-    order = np.argsort(codes, 1, kind="stable")
-    codes, weights = np.take_along_axis(codes, order, 1), np.take_along_axis(weights, order, 1)
+    keys = codes << 7 | np.arange(codes.shape[1], dtype=np.int32)
+    keys.sort(1)
+    codes, weights = keys >> 7, np.take_along_axis(weights, keys & 127, 1)
     total = np.cumsum(weights, 1)  # equal codes of a row count as one feature
     last = np.concatenate([codes[:, 1:] != codes[:, :-1], np.ones((len(codes), 1), bool)], 1)
     upto = np.where(last, total, 0)
@@ -118,26 +121,33 @@ def kernel(rows: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     codes, weights = features(landmarks)
     np.add.at(table, (codes, np.arange(len(landmarks))[:, None]), weights)
     out = np.empty((len(rows), len(landmarks)), np.float32)
-    for i in range(0, len(rows), 512):
-        codes, weights = features(rows[i : i + 512])
-        out[i : i + 512] = (table[codes] * weights[:, :, None]).sum(1)
+    for i in range(0, len(rows), 128):
+        codes, weights = features(rows[i : i + 128])
+        out[i : i + 128] = np.einsum("ij,ijk->ik", weights, table[codes])
     return out
 
 
 def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 25) -> np.ndarray:
-    """Weights and bias of a squared-hinge machine, by Newton steps on the active set."""
-    x = np.concatenate([z, np.ones((len(z), 1))], 1)
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(len(w))
+    """Weights and bias of a squared-hinge machine, by Newton steps on the active set; z is worked through in slices."""
+    size = z.shape[1] + 1
+    w = np.zeros(size)
+    ridge = np.eye(size)
     ridge[-1, -1] = 1e-6
     active = None
     for _ in range(rounds):
-        now = y * (x @ w) < 1
+        now = y * (z @ w[:-1] + w[-1]) < 1
         if active is not None and (now == active).all():
             break
         active = now
-        xa, c = x[active], penalty * weight[active]
-        w = np.linalg.solve(ridge + (xa * c[:, None]).T @ xa, (xa * (c * y[active])[:, None]).sum(0))
+        rows = np.flatnonzero(active)
+        left, right = ridge.copy(), np.zeros(size)
+        for i in range(0, len(rows), 4096):
+            part = rows[i : i + 4096]
+            x = np.concatenate([z[part].astype(np.float64), np.ones((len(part), 1))], 1)
+            c = penalty * weight[part]
+            left += (x * c[:, None]).T @ x
+            right += x.T @ (c * y[part])
+        w = np.linalg.solve(left, right)
     return w
 
 
@@ -185,7 +195,7 @@ class KernelMachine:
             keep = value > 1e-6
             whiten = vector[:, keep] / np.sqrt(value[keep])
             used = weight > 0
-            w = _svm(kernel(x[used], landmarks) @ whiten, y[used], weight[used], PENALTY)
+            w = _svm(kernel(x[used], landmarks) @ whiten.astype(np.float32), y[used], weight[used], PENALTY)
             codes, weights = features(landmarks)
             self.table = np.zeros(1 << 15, np.float32)
             np.add.at(self.table, codes, weights * (whiten @ w[:-1])[:, None].astype(np.float32))
@@ -248,7 +258,7 @@ def _grams(word: bytes) -> set[str]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         toxic, clean, grams = Counter(), Counter(), (Counter(), Counter())
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words = set(words_of(text.as_py()))
@@ -261,6 +271,16 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "toxic", "clean"])
 
 
+def _marked(marks: set[str]):
+    """Rows of words that hold a marking string."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([bool(_grams(k.as_py()) & marks) for k in batch.column(0)], pa.bool_()))
+
+    return run
+
+
 def _chance(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     """Logarithm of an upper bound on the chance of so many toxic texts among those that hold a string."""
     n = toxic + clean
@@ -291,14 +311,15 @@ def train(docs: DataFrame, labels: DataFrame) -> KernelMachine:
         sure = _chance(often["toxic"].to_numpy(float), often["clean"].to_numpy(float), base) < np.log(CHANCE)
         marks = {bytes(k).decode() for k in often["key"][sure]}
         words = found.filter(F.col("kind") == "word")
-        seen = words.filter("toxic > 0").orderBy(F.desc("toxic"), "key").limit(200_000).toPandas()
-        holds = np.array([bool(_grams(bytes(k)) & marks) for k in seen["key"]], bool)
-        mine = seen[holds][:TOXIC_WORDS]
+        seen = words.filter("toxic > 0").select("key", "toxic", "clean").mapInArrow(_marked(marks), "key binary, toxic long, clean long")
+        mine = seen.orderBy(F.desc("toxic"), "key").limit(TOXIC_WORDS).toPandas()
         if not len(mine):
             return machine
         usual = words.filter("clean > 0")
         frequent = usual.orderBy(F.desc("clean"), "key").limit(CLEAN_WORDS // 2).toPandas()["key"]
-        spread = usual.orderBy(F.xxhash64("key"), "key").limit(CLEAN_WORDS * 5).toPandas()["key"]
+        order, size = F.xxhash64("key"), usual.count()
+        part = F.shiftrightunsigned(order, 11).cast("double") / float(1 << 53) < CLEAN_WORDS * 5 / max(size, 1)
+        spread = usual.filter(part).select("key", order.alias("order")).toPandas().sort_values(["order", "key"])["key"]
         plain = [w for w in dict.fromkeys(bytes(k) for k in [*frequent, *spread]) if not _grams(w) & marks]
         counts = [mine[c].to_numpy(float) for c in ("toxic", "clean")]
         machine.train([bytes(k) for k in mine["key"]], *counts, plain[:CLEAN_WORDS], plain[CLEAN_WORDS:])
@@ -312,6 +333,13 @@ def train(docs: DataFrame, labels: DataFrame) -> KernelMachine:
     return machine
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small slices, as the words of a slice's texts are held at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def _worst(scores: WordScores, texts: list[str | None]) -> tuple[np.ndarray, list[list[bytes]]]:
     """The values of each text's TOP worst words and of its second worst place, and its words."""
     split = [words_of(t) for t in texts]
@@ -328,7 +356,7 @@ def _worst(scores: WordScores, texts: list[str | None]) -> tuple[np.ndarray, lis
 def _raw(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             worst, _ = _worst(scores, batch.column(1).to_pylist())
             columns = [batch.column(0).cast(pa.int32()), pa.array(worst.tolist(), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["label", "worst"])
@@ -342,20 +370,18 @@ SCORES = "doc_id long, score double, predicted int, worst_word string, sentence
 def _predict(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[list] = [[], [], [], []]
-            for i in range(0, batch.num_rows, 64):
-                texts = batch.column(1)[i : i + 64].to_pylist()
-                worst, split = _worst(scores, texts)
-                for text, words, chance in zip(texts, split, scores.machine.probability(worst).tolist(), strict=True):
-                    toxic, word, at = chance >= threshold, None, None
-                    if toxic:  # the sentence that holds the worst word
-                        word = max(set(words), key=lambda w: (scores[w], w), default=b"")
-                        at = next((k for k, s in enumerate(_SENTENCE_END.split(text or "")) if word in words_of(s)), None)
-                        word = word.decode(errors="replace")
-                    values = (chance, int(toxic), word, at)
-                    for column, value in zip(out, values, strict=True):
-                        column.append(value)
+            texts = batch.column(1).to_pylist()
+            worst, split = _worst(scores, texts)
+            for text, words, chance in zip(texts, split, scores.machine.probability(worst).tolist(), strict=True):
+                toxic, word, at = chance >= threshold, None, None
+                if toxic:  # the sentence that holds the worst word
+                    word = max(set(words), key=lambda w: (scores[w], w), default=b"")
+                    at = next((k for k, s in enumerate(_SENTENCE_END.split(text or "")) if word in words_of(s)), None)
+                    word = word.decode(errors="replace")
+                for column, value in zip(out, (chance, int(toxic), word, at), strict=True):
+                    column.append(value)
             kinds = (pa.float64(), pa.int32(), pa.string(), pa.int32())
             columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "score", "predicted", "worst_word", "sentence"])
@@ -372,7 +398,7 @@ def score_texts(docs: DataFrame, machine: KernelMachine, threshold: float = THRE
 def _keep(shared, threshold: float, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = WordScores(shared.value)
-        for batch in batches:
+        for batch in _slices(batches):
             worst, _ = _worst(scores, batch.column(0).field(place).to_pylist())
             yield batch.filter(pa.array(scores.machine.probability(worst) < threshold))
 
