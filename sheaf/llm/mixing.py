@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheaf.llm.common import ROW, SPACE, packed, unpacked, written
+from sheaf.llm.common import ROW, packed, unpacked, written
 
 #: Exponent of a marginal's shares in its targets: 1 leaves them as they are, 0 makes them equal.
 TEMPER = 0.7
@@ -33,27 +33,33 @@ SWEEPS, SPILLS = 20, 6
 SINGLE_CELLS = 100_000
 DIMENSIONS = ("source", "lang", "topic")
 #: Characters of markup and noise, by which topics are told apart.
-NOISE = "%&$*#!~^"
+NOISE = "%&$*#"
+
+
+def _blank(text: Column) -> Column:
+    return ~text.rlike(r"[^\x20\x09-\x0D]")
+
+
+def _without(text: Column, marks: str) -> Column:
+    for mark in marks:
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    return text
 
 
 def token_count(text: Column) -> Column:
-    """Words between white space."""
-    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "))
-    return F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).cast("long")
+    """An estimate of tokens: spaces and line ends, plus one."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(_blank(text), 0).otherwise(F.length(text) - F.length(_without(text, " \n")) + 1).cast("long")
 
 
 def topic_of(text: Column) -> Column:
     """The kind of a text by its form: empty, table, noisy, short or prose."""
     text = F.coalesce(text, F.lit(""))
     size = F.length(text)
-    bars = size - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    noise = size - F.length(F.translate(text, NOISE, ""))
+    bars = size - F.length(_without(text, "|"))
+    noise = size - F.length(_without(text, NOISE))
     return (
-        F.when(F.trim(F.regexp_replace(text, SPACE, " ")) == "", "empty")
-        .when(bars * 20 >= size, "table")
-        .when(noise * 20 >= size, "noisy")
-        .when(size < 400, "short")
-        .otherwise("prose")
+        F.when(_blank(text), "empty").when(bars * 20 >= size, "table").when(noise * 20 >= size, "noisy").when(size < 400, "short").otherwise("prose")
     )
 
 
@@ -131,9 +137,8 @@ def described(docs: DataFrame) -> DataFrame:
     )
 
 
-def drawn(docs: DataFrame, temper: float = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS, single_cells: int = SINGLE_CELLS) -> DataFrame:
-    """The input rows as ROW with source, lang, topic, n_tokens, their probability and whether they are kept."""
-    rows = described(docs)
+def drawn(rows: DataFrame, temper: float = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS, single_cells: int = SINGLE_CELLS) -> DataFrame:
+    """Described rows with their probability and whether they are kept."""
     cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     small = cells.count() <= single_cells
     fit = written((_fit_single if small else _fit_spread)(cells, temper, budget, sweeps).select(*DIMENSIONS, "p"), "mix-fit")
@@ -144,21 +149,35 @@ def drawn(docs: DataFrame, temper: float = TEMPER, budget: float = BUDGET, sweep
 
 def sample_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The input rows, with all their columns, that are drawn."""
-    return unpacked(drawn(docs, **parameters).filter("kept"))
+    return unpacked(drawn(described(docs), **parameters).filter("kept"))
+
+
+def probabilities(docs: DataFrame, **parameters) -> DataFrame:
+    """doc_id, source, lang, topic, n_tokens, probability and kept of every row; texts are read once."""
+    slim = described(docs).select(F.struct(F.col(f"{ROW}.doc_id").cast("long").alias("doc_id")).alias(ROW), *DIMENSIONS, "n_tokens")
+    out = drawn(written(slim, "mix-rows"), **parameters)
+    return out.select(f"{ROW}.doc_id", *DIMENSIONS, "n_tokens", "probability", "kept")
 
 
 def mixing_sql(temper: float = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS) -> str:
     """DuckDB SQL for the rows of the registered query."""
-    space = r"[\x20\x09-\x0D]+"
-    plain = f"trim(regexp_replace(coalesce(text, ''), '{space}', ' ', 'g'), ' ')"
-    size = "length(coalesce(text, ''))"
+    text = "coalesce(text, '')"
+
+    def without(marks: str) -> str:
+        out = text
+        for mark in marks:
+            out = f"replace({out}, chr({ord(mark)}), '')"
+        return out
+
+    blank = f"NOT regexp_matches({text}, '[^\\x20\\x09-\\x0D]')"
+    size = f"length({text})"
     steps = [
         f"""rows AS (SELECT doc_id, source, lang,
-            CASE WHEN {plain} = '' THEN 'empty'
-                 WHEN ({size} - length(replace(coalesce(text, ''), '|', ''))) * 20 >= {size} THEN 'table'
-                 WHEN ({size} - length(translate(coalesce(text, ''), '{NOISE}', ''))) * 20 >= {size} THEN 'noisy'
+            CASE WHEN {blank} THEN 'empty'
+                 WHEN ({size} - length({without("|")})) * 20 >= {size} THEN 'table'
+                 WHEN ({size} - length({without(NOISE)})) * 20 >= {size} THEN 'noisy'
                  WHEN {size} < 400 THEN 'short' ELSE 'prose' END AS topic,
-            CASE WHEN {plain} = '' THEN 0 ELSE length({plain}) - length(replace({plain}, ' ', '')) + 1 END AS n_tokens
+            CASE WHEN {blank} THEN 0 ELSE {size} - length({without(" " + chr(10))}) + 1 END AS n_tokens
             FROM documents)""",
         "cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL)",
         "f0 AS (SELECT *, tokens AS w FROM cells)",

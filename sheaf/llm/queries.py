@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheaf.llm.mixing import drawn, mixing_sql
+from sheaf.llm.mixing import mixing_sql, probabilities
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +47,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing_by_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drawn(table(spark, sf_dir, "documents"))
-    return out.select("__row.doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+    return probabilities(table(spark, sf_dir, "documents"))
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

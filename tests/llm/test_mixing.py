@@ -35,7 +35,7 @@ def brute(rows, temper=M.TEMPER, budget=M.BUDGET, sweeps=M.SWEEPS):
 def test_probabilities(small, single):
     """The fit in one task and the one over written tables."""
     sweeps = M.SWEEPS if single else 2
-    out = M.drawn(small, single_cells=single, sweeps=sweeps).collect()
+    out = M.drawn(M.described(small), single_cells=single, sweeps=sweeps).collect()
     want = brute([(r.source, r.lang, r.topic, r.n_tokens) for r in out], sweeps=sweeps)
     assert len(out) == small.count()
     for r in out:
@@ -53,7 +53,7 @@ def M_draw(r):
 def test_marginals_meet_the_targets(spark):
     rows = [(i, "w " * (20 + i % 7), f"l{i % 3}", f"s{min(i % 10, 4)}") for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    out = M.drawn(df, budget=0.3).collect()
+    out = M.drawn(M.described(df), budget=0.3).collect()
     weight, own = defaultdict(float), defaultdict(float)
     for r in out:
         weight[r.source] += r.probability * r.n_tokens
@@ -66,10 +66,11 @@ def test_marginals_meet_the_targets(spark):
 
 def test_odd_rows(odd, odd_extended, none):
     for frame in (odd, odd_extended):
-        out = M.drawn(frame).collect()
+        out = M.drawn(M.described(frame)).collect()
         assert len(out) == frame.count()
         assert {r.topic for r in out if not (r["__row"].text or "").strip()} == {"empty"}
         sample = M.sample_documents(frame)
         assert sample.columns == frame.columns and sample.count() == sum(r.kept for r in out)
+        assert M.probabilities(frame).count() == frame.count()
     assert M.sample_documents(none).count() == 0
-    assert M.drawn(none, single_cells=-1).count() == 0
+    assert M.drawn(M.described(none), single_cells=-1).count() == 0
