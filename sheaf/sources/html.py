@@ -74,7 +74,7 @@ class Page(HTMLParser):
     def _flush(self) -> None:
         raw = "".join(self.text)
         self.text = []
-        text = raw.strip("\n") if self.pre else re.sub(r"[ \t\r\n\f]*\n?[ \t\r\n\f]+", " ", raw).strip(" ").replace("\v", "\n")
+        text = raw.strip("\n") if self.pre else re.sub(r" *\v *", "\n", re.sub(r"[ \t\r\n\f]+", " ", raw)).strip()
         if not text.strip():
             return
         kind, level = self._kind()
