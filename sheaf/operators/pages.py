@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheaf.operators.prefix import running
+
 
 
 class SelectorError(ValueError):
@@ -230,9 +232,7 @@ def bates(pages: DataFrame, prefix: str, digits: int, suffix: str, start: int, *
 
     Numbers run over documents, so counts per document are summed first and every document starts from its own offset.
     """
-    sizes = counted(pages)
-    offset = F.sum("n").over(Window.orderBy("doc").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.withColumn("offset", F.coalesce(offset, F.lit(0)))
+    sizes = running(counted(pages), ["doc"], "n", F.sum, "offset").fillna(0, ["offset"])
     place = F.row_number().over(Window.partitionBy("doc").orderBy(*order)) + F.col("offset") + (start - 1)
     out = pages.join(sizes.select("doc", "offset"), "doc").withColumn("number", place)
     text = F.when(F.col("number") >= 10**digits, F.raise_error(F.lit(f"a number has more than {digits} digits")).cast("string")).otherwise(

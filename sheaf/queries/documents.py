@@ -151,21 +151,21 @@ def csv_reader(t):
     return out.select("n_regionkey", "delimiter", "columns", "r", F.array_join("cells", ";").alias("line"))
 
 
-@query("""SELECT conv_id, turn, role || '@example.com' AS sender, 'Turn ' || turn AS subject, length(text)::INT AS size FROM conversations WHERE NOT regexp_matches(text, '[^\\x20-\\x7E]')""")
+@query("""SELECT conv_id, turn, role || '@example.com' AS sender, 'Turn ' || turn AS subject, length(trim(text, e' \\n\\r\\t'))::INT AS size FROM conversations""")
 def mail_reader(t):
-    rows = t.conversations.filter(~F.col("text").rlike(r"[^\x20-\x7E]"))
-    source = F.concat(F.lit("From: "), "role", F.lit("@example.com\nTo: x@example.com\nSubject: Turn "), F.col("turn").cast("string"), F.lit("\n\n"), "text", F.lit("\n"))
+    rows = t.conversations
+    source = F.concat(F.lit("From: "), "role", F.lit("@example.com\nTo: x@example.com\nSubject: Turn "), F.col("turn").cast("string"), F.lit("\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), "text", F.lit("\n"))
     out = rows.select("conv_id", "turn", mail(source).alias("m"))
     return out.select("conv_id", "turn", F.col("m.from").alias("sender"), "m.subject", F.length("m.body").alias("size"))
 
 
 @query("""
-    SELECT o_custkey AS tab, ((rn - 1) // 3)::INT AS r, ((rn - 1) % 3)::INT AS c, o_orderpriority AS text FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders WHERE o_custkey < 40)
-    UNION ALL SELECT o_custkey, ((n) // 3)::INT, k::INT, '' FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey < 40 GROUP BY 1), unnest(range(0, 3)) AS u(k) WHERE n % 3 <> 0 AND k >= n % 3 AND n > 3
+    SELECT o_custkey AS tab, ((rn - 1) // 3)::INT AS r, ((rn - 1) % 3)::INT AS c, o_orderpriority AS text FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
+    UNION ALL SELECT o_custkey, ((n) // 3)::INT, k::INT, '' FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), unnest(range(0, 3)) AS u(k) WHERE n % 3 <> 0 AND k >= n % 3 AND n > 3
     UNION ALL SELECT NULL, NULL, NULL, NULL WHERE false""")
 def table_grid(t):
     k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    cells = t.orders.filter("o_custkey < 40").select(
+    cells = t.orders.select(
         F.col("o_custkey").alias("tab"), F.floor(k / 3).cast("int").alias("r"), (k % 3).alias("c"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), F.col("o_orderpriority").alias("text")
     )
     return G.grids(cells, "tab")
@@ -189,7 +189,7 @@ def heading_distances(t):
             values = [C.heading_distance([(h["level"], h["text"]) for h in a], [(h["level"], h["text"]) for h in b]) for a, b in zip(frame["a"], frame["b"], strict=True)]
             yield pd.DataFrame({"doc": frame["doc"], "distance": values})
 
-    heads = t.part.select((F.col("p_partkey") % 50).alias("doc"), F.struct(F.col("p_partkey").alias("ord"), (F.col("p_size") % 3 + 1).cast("int").alias("level"), F.col("p_name").alias("text")).alias("h"))
-    lists = heads.groupBy("doc").agg(F.array_sort(F.collect_list("h")).alias("hs"))
-    pairs = lists.select("doc", F.slice("hs", 1, 5).alias("a"), F.slice("hs", 2, 5).alias("b"))
+    heads = t.part.select(F.floor(F.col("p_partkey") / 8).alias("doc"), F.struct(F.col("p_partkey").alias("ord"), (F.col("p_size") % 3 + 1).cast("int").alias("level"), F.col("p_name").alias("text")).alias("h"))
+    lists = heads.groupBy("doc").agg(F.array_sort(F.collect_list("h")).alias("a"))
+    pairs = lists.join(lists.select((F.col("doc") - 1).alias("doc"), F.col("a").alias("b")), "doc")
     return pairs.mapInPandas(score, "doc long, distance double")

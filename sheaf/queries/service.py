@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheaf.operators import service as S
+from sheaf.operators.prefix import running
 from sheaf.queries.registry import query
 
 AS_OF = "2024-01-20 00:00:00"
@@ -115,22 +116,27 @@ _FAIR = """
                FROM orders WHERE o_orderstatus = 'O' WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
 
 
-@query(_FAIR + " SELECT o_orderkey, o_custkey, round FROM r ORDER BY round, first_at, first_id LIMIT 2000")
+@query(_FAIR + " SELECT o_orderkey, o_custkey, round, first_at, first_id FROM r")
 def fair_queue(t):
     backlog = t.orders.filter("o_orderstatus = 'O'")
-    return S.claim(backlog, "o_custkey", "o_orderdate", "o_orderkey", 2000).select("o_orderkey", "o_custkey", "round")
+    return S.fair_order(backlog, "o_custkey", "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey", "round", "first_at", "first_id")
+
+
+@query(_FAIR + " SELECT o_orderkey, o_custkey FROM r ORDER BY round, first_at, first_id LIMIT 50")
+def fair_claim(t):
+    backlog = t.orders.filter("o_orderstatus = 'O'")
+    return S.claim(backlog, "o_custkey", "o_orderdate", "o_orderkey", 50).select("o_orderkey", "o_custkey")
 
 
 @query("""
     SELECT o_orderkey, coalesce(max(o_orderkey % 97) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
                                 max(o_orderkey % 97) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn
-    FROM orders WHERE o_orderkey < 2000""")
+    FROM orders""")
 def turn_inheritance(t):
-    rows = t.orders.filter("o_orderkey < 2000").withColumn("mark", F.col("o_orderkey") % 97)
-    before = (Window.unboundedPreceding, -1)
-    own = F.max("mark").over(Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(*before))
-    overall = F.max("mark").over(Window.orderBy("o_orderkey").rowsBetween(*before))
-    return rows.select("o_orderkey", F.coalesce(own, overall, F.lit(0)).alias("turn"))
+    rows = t.orders.select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 97).alias("mark"))
+    own = F.max("mark").over(Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1))
+    out = running(rows, ["o_orderkey"], "mark", F.max, "overall")
+    return out.select("o_orderkey", F.coalesce(own, "overall", F.lit(0)).alias("turn"))
 
 
 @query("""SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from email import message_from_string
+from email import message_from_bytes
 from email.policy import default
 
 import pandas as pd
@@ -23,7 +23,7 @@ _NO_BIDI = dict.fromkeys(map(ord, BIDI))
 
 def read_mail(source: str) -> dict:
     """Headers, the body (HTML before plain text) and the attachments' names and sizes."""
-    message = message_from_string(source, policy=default)
+    message = message_from_bytes(source.encode(), policy=default)
     out = {n: None if message[n] is None else str(message[n]).translate(_NO_BIDI) for n in _NAMES}
     body = message.get_body(("html", "plain"))
     content = "" if body is None else body.get_content()
