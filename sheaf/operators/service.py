@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheaf.operators.prefix import ranked
+
 DAY = 86_400
 
 
@@ -76,12 +78,15 @@ def cursor_text(*columns: str) -> Column:
 def fair_order(queue: DataFrame, subject: str, enqueued: str, message: str) -> DataFrame:
     """The order in which subjects that take turns get their messages through; oldest message first within a subject.
 
-    A subject's turn comes round once in each round, in the order of the subjects' first messages.
+    A subject's turn comes round once in each round, in the order of the subjects' first messages. Places within a subject come from
+    ranks over range partitions, so that a subject with a large part of the backlog is not one task.
     """
-    own = Window.partitionBy(subject).orderBy(enqueued, message)
-    out = queue.withColumn("round", F.row_number().over(own).cast("long"))
-    first = Window.partitionBy(subject).orderBy(enqueued, message).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return out.withColumn("first_at", F.first(enqueued).over(first)).withColumn("first_id", F.first(message).over(first))
+    keys = [subject, enqueued, message]
+    placed = ranked(queue, keys, "__place")
+    firsts = placed.groupBy(subject).agg(F.min("__place").alias("__first"), F.min(F.struct(enqueued, message)).alias("__least"))
+    out = placed.join(firsts, subject)
+    out = out.withColumn("round", F.col("__place") - F.col("__first") + 1).withColumn("first_at", F.col(f"__least.{enqueued}"))
+    return out.withColumn("first_id", F.col(f"__least.{message}")).drop("__place", "__first", "__least")
 
 
 def claim(queue: DataFrame, subject: str, enqueued: str, message: str, size: int) -> DataFrame:
