@@ -14,11 +14,11 @@ SQL_PAGES = """
     sizes AS (SELECT doc, max(page) AS n FROM pages GROUP BY 1)"""
 
 
-def plan(t):
+def plan(t, *more):
     own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
     return t.lineitem.select(
         F.col("l_orderkey").alias("doc"), F.row_number().over(own).alias("page"), F.col("l_quantity").alias("qty"),
-        F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part_key"),
+        F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"), F.col("l_partkey").alias("part_key"), *more,
     )
 
 

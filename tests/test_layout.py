@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from sheaf.operators import layout as L
 from sheaf.operators import prefix
 from sheaf.operators import records as D
+from sheaf.operators.matches import list_overlaps, rewritten
 from sheaf.plans import recipes as R
+from sheaf.plans.intents import draft
 from sheaf.sources import forms
 from sheaf.sources.markdown import read_markdown, write_markdown
 
@@ -109,3 +111,20 @@ def test_records(spark):
     assert [r.u for r in df.select(D.unpacked_stream("b").alias("u")).collect()] == [None, None]
     fields = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c")], "id long, parent long, part string")
     assert {r.id: r.name for r in D.dotted_names(fields).collect()} == {1: "a", 2: "a.b", 3: "a.b.c"}
+
+
+def test_list_overlaps_take_each_list_once(spark):
+    df = spark.createDataFrame([(1, [["a", "b"], ["a", "c"], ["x"]], [["a", "b", "c"], ["c", "q"]])], "doc long, a array<array<string>>, b array<array<string>>")
+    got = [(r.reference, r.found, r.share) for r in list_overlaps(df).orderBy("reference").collect()]
+    assert got == [(0, 0, 1.0), (1, 1, 0.5), (2, None, 0.0)]
+
+
+def test_drafts():
+    got = draft("Split the file every 3 pages, rotate by 90 degrees and redact emails, then convert to docx")
+    assert [(s["tool"], s["params"]) for s in got["steps"]] == [("split", {"every": 3}), ("rotate", {"angle": 90}), ("redact", {"preset": "email"}), ("convert", {"to": "docx"})]
+    with pytest.raises(ValueError, match="no tool"):
+        draft("hello")
+
+
+def test_only_text_nodes_are_rewritten():
+    assert rewritten('{"text":"a","id":"b","items":[{"text":"c"},{"text":{"text":"d"}}]}', str.upper) == '{"text":"A","id":"b","items":[{"text":"C"},{"text":{"text":"D"}}]}'
