@@ -77,8 +77,8 @@ def repeated_furniture(t):
 # A small graph of converters with measured and unmeasured edges.
 EDGES = [
     ("md", "ir", "core", ["local", "cloud"], 0.934, 1.0, 10.0), ("html", "ir", "core", ["local", "cloud"], 1.0, 1.0, 10.0), ("ir", "html", "core", ["local", "cloud"], 0.96, 1.0, 10.0),
-    ("ir", "md", "core", ["local"], 0.97, 0.989, 10.0), ("ir", "docx", "pandoc", ["local", "cloud"], 0.962, 0.975, 250.0), ("ir", "epub", "pandoc", ["local"], 0.795, 0.786, 200.0),
-    ("docx", "pdf", "office", ["cloud"], 0.688, 0.75, 2860.0), ("ir", "pdf", "typst", ["local", "cloud"], 0.582, 0.25, 20.0), ("docx", "ir", "pandoc", ["local"], 0.979, 1.0, 310.0),
+    ("ir", "md", "core", ["local"], 0.97, 0.989, 10.0), ("ir", "docx", "converter", ["local", "cloud"], 0.962, 0.975, 250.0), ("ir", "epub", "converter", ["local"], 0.795, 0.786, 200.0),
+    ("docx", "pdf", "office", ["cloud"], 0.688, 0.75, 2860.0), ("ir", "pdf", "printer", ["local", "cloud"], 0.582, 0.25, 20.0), ("docx", "ir", "converter", ["local"], 0.979, 1.0, 310.0),
     ("pdf", "ir", "layout", ["cloud"], 0.492, 0.562, 14740.0), ("odt", "docx", "office", ["local"], None, None, None), ("pdf", "pptx", "office", ["local"], 0.485, 0.0, 970.0),
 ]
 _VALUES = ", ".join(f"('{a}', '{b}', '{e}', {r}, {'NULL' if f is None else f}, {'NULL' if d is None else d}, {'NULL' if p is None else p})" for a, b, e, r, f, d, p in EDGES)
