@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ BROADCAST_LANGUAGES = 10_000
 #: Sharpness of the score: the weight of the best language among all, by cosine.
 SHARPNESS = 25.0
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _SPACES = re.compile(rb" +")
 
