@@ -22,8 +22,18 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/sheaf/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/sheaf/{label}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all tables that this application has written; frames that still read them can't be used any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def written(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
