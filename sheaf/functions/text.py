@@ -138,7 +138,8 @@ def words(text: Column, pattern: str = r"[a-z0-9_]+") -> Column:
 
 
 def is_vietnamese(text: Column) -> Column:
-    return F.when(F.lower(text).rlike(f"[{VIETNAMESE}]"), "vi").otherwise("en")
+    plain = F.octet_length(text) == F.length(text)  # nothing to look for in ASCII
+    return F.when(~plain & F.lower(text).rlike(f"[{VIETNAMESE}]"), "vi").otherwise("en")
 
 
 def sniff_delimiter(text: Column) -> Column:

@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from sheaf.operators.prefix import running
@@ -137,21 +138,28 @@ def split_at(pages: DataFrame, starts: Column) -> DataFrame:
     return pages.withColumn("part", F.sum(begins).over(Window.partitionBy("doc").orderBy("page")))
 
 
+def greedy_parts(sizes: list[float], most: float) -> list[int]:
+    """The part of each page: as many pages as fit; a page that alone reaches the limit is a part of its own."""
+    part, used, out = -1, None, []
+    for size in sizes:
+        if used is None or used + size > most:
+            part, used = part + 1, 0.0
+        used += size
+        out.append(part)
+    return out
+
+
 def split_by_size(pages: DataFrame, size: str, most: float) -> DataFrame:
-    """Greedy parts: as many pages as fit; a page that alone reaches the limit is a part of its own."""
-
-    def cut(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("page")
-        part, used, parts = -1, None, []
-        for value in group["size"]:
-            if used is None or used + value > most:
-                part, used = part + 1, 0.0
-            used += value
-            parts.append(part)
-        return pd.DataFrame({"doc": group["doc"], "page": group["page"], "part": parts})
-
-    slim = pages.select(F.col("doc").cast("long"), F.col("page").cast("int"), F.col(size).cast("double").alias("size"))
-    return slim.groupBy("doc").applyInPandas(cut, "doc long, page int, part long")
+    """Greedy parts of each document; its sizes travel as one array, so that a batch of documents is one call."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def parts(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda x: greedy_parts(list(x), most))
+
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("page").cast("int").alias("page"), F.col(size).cast("double").alias("size"))))
+    docs = pages.groupBy(F.col("doc").cast("long").alias("doc")).agg(ordered.alias("p"))
+    both = F.arrays_zip(F.transform("p", lambda x: x["page"]).alias("page"), parts(F.transform("p", lambda x: x["size"])).alias("part"))
+    return docs.select("doc", F.inline(both))
 
 
 def merge(*frames: DataFrame) -> DataFrame:

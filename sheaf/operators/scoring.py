@@ -50,29 +50,54 @@ def word_error_rate(reference: pd.Series, got: pd.Series) -> pd.Series:
 
 def shortest_edits(a: list, b: list) -> list[tuple[str, int, int]]:
     """Myers' greedy edit script: (kind, place in a, place in b) of every deletion and insertion, in order."""
-    furthest, trace, size = {1: 0}, [], len(a) + len(b)
-    for d in range(size + 1):
-        trace.append(dict(furthest))
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and furthest[k - 1] < furthest[k + 1])
-            x = furthest[k + 1] if down else furthest[k - 1] + 1
-            while x < len(a) and x - k < len(b) and a[x] == b[x - k]:
+    start = 0
+    while start < len(a) and start < len(b) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    old, new = a[start : len(a) - end], b[start : len(b) - end]
+    n, m = len(old), len(new)
+    if not n or not m:
+        return [("delete", start + i, start) for i in range(n)] + [("insert", start, start + j) for j in range(m)]
+    # rounds[d][i]: furthest place in `old` with d edits on diagonal 2 i - d
+    rounds: list[list[int]] = []
+    for d in range(n + m + 1):
+        last = rounds[-1] if rounds else []
+        here = []
+        for i in range(d + 1):
+            k = 2 * i - d
+            if d == 0:
+                x = 0
+            elif i == 0:
+                x = last[0]
+            elif i == d:
+                x = last[i - 1] + 1
+            else:
+                right, down = last[i - 1] + 1, last[i]
+                x = down if down >= right else right
+            y = x - k
+            while x < n and y < m and old[x] == new[y]:
                 x += 1
-            furthest[k] = x
-            if x >= len(a) and x - k >= len(b):
-                return _walk_back(trace, len(a), len(b))
+                y += 1
+            here.append(x)
+            if x >= n and y >= m:
+                rounds.append(here)
+                return [(kind, x + start, y + start) for kind, x, y in _walk_back(rounds, i)]
+        rounds.append(here)
     return []
 
 
-def _walk_back(trace: list[dict[int, int]], x: int, y: int) -> list[tuple[str, int, int]]:
+def _walk_back(rounds: list[list[int]], i: int) -> list[tuple[str, int, int]]:
     out = []
-    for d in range(len(trace) - 1, 0, -1):
-        seen, k = trace[d], x - y
-        down = k == -d or (k != d and seen[k - 1] < seen[k + 1])
-        before = seen[k + 1] if down else seen[k - 1]
-        row = before - (k + 1 if down else k - 1)
-        out.append(("insert", before, row) if down else ("delete", before, row))
-        x, y = before, row
+    for d in range(len(rounds) - 1, 0, -1):
+        last = rounds[d - 1]
+        down = i == 0 or (i != d and last[i] >= last[i - 1] + 1)
+        if not down:
+            i -= 1
+        x = last[i]
+        y = x - (2 * i - (d - 1))
+        out.append(("insert" if down else "delete", x, y))
     return out[::-1]
 
 

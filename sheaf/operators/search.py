@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,15 +34,29 @@ def token_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
+_SENTENCE = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("sentence", T.StringType()), T.StructField("score", T.DoubleType())])
+_WORD, _END = re.compile(r"[a-z0-9_]+"), re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n+")
+
+
+def best_sentences(text: str, k: int) -> list[dict]:
+    """The k best sentences of a text in their own order; a sentence scores its words' frequencies over the root of its length."""
+    stop = frozenset(STOP_WORDS)
+    parts = [s for s in (x.strip(" ") for x in _END.split(text)) if s]
+    spoken = [[w for w in _WORD.findall(s.lower()) if w not in stop] for s in parts]
+    often = Counter(w for words in spoken for w in words)
+    scores = [round(sum(often[w] for w in words) / math.sqrt(len(words)), 6) if words else 0.0 for words in spoken]
+    best = sorted(range(len(parts)), key=lambda i: (-scores[i], i))[:k]
+    return [{"position": i, "sentence": parts[i], "score": scores[i]} for i in sorted(best)]
+
+
 def summary(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """The k best sentences of each text in their own order; a sentence scores its words' frequencies over the root of its length."""
-    split = sentences(docs, key, text)
-    spoken = split.select(key, "position", F.explode(tokens(F.col("sentence"))).alias("token"))
-    scored = spoken.join(token_frequencies(docs, key, text), [key, "token"]).groupBy(key, "position")
-    scored = scored.agg((F.sum("n") / F.sqrt(F.count("*"))).alias("score"))
-    out = split.join(scored, [key, "position"], "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "position"))
-    return out.withColumn("rank", place).filter(F.col("rank") <= k).drop("rank")
+    """(key, position, sentence, score): a summary depends on its own text only, so nothing is shuffled."""
+
+    @F.pandas_udf(T.ArrayType(_SENTENCE))
+    def best(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: [] if x is None else best_sentences(x, k))
+
+    return docs.select(key, F.inline(best(text)))
 
 
 def answers(docs: DataFrame, key: str, text: str, question: str, k: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sheaf.functions.text import escape_csv, guard_formula
 
@@ -33,16 +34,17 @@ def placed(cells: Iterable[dict]) -> list[list[str]]:
     return [[grid.get((r, c), "") for c in range(width)] for r in range(height)]
 
 
-def grids(cells: DataFrame, *key: str) -> DataFrame:
-    """(key, r, c, text) of every place of every table; a table's cells meet in one group."""
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def grid_of(cells: pd.Series) -> pd.Series:
+    """The grid of each array of cells (r, c, rowspan, colspan, text)."""
+    return cells.map(lambda own: placed(sorted(own, key=lambda x: (x["r"], x["c"]))))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        grid = placed(group.sort_values(["r", "c"]).to_dict("records"))
-        rows = [(*group.iloc[0][list(key)], r, c, text) for r, line in enumerate(grid) for c, text in enumerate(line)]
-        return pd.DataFrame(rows, columns=[*key, "r", "c", "text"])
 
-    kinds = ", ".join(f"{k} {dict(cells.dtypes)[k]}" for k in key)
-    return cells.groupBy(*key).applyInPandas(run, f"{kinds}, r int, c int, text string")
+def grids(cells: DataFrame, *key: str) -> DataFrame:
+    """(key, r, c, text) of every place of every table; a table's cells travel as one array."""
+    whole = F.collect_list(F.struct("r", "c", "rowspan", "colspan", "text"))
+    rows = cells.groupBy(*key).agg(whole.alias("cells")).select(*key, F.posexplode(grid_of("cells")).alias("r", "line"))
+    return rows.select(*key, "r", F.posexplode("line").alias("c", "text"))
 
 
 def csv_lines(grid: DataFrame, *key: str) -> DataFrame:

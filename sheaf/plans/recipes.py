@@ -77,12 +77,16 @@ def address_value(address: Column) -> Column:
 
 def is_public(address: Column) -> Column:
     """Whether an IPv4 address is public; what isn't an address is not."""
-    value = address_value(address)
-    inside = F.lit(False)
-    for first, bits in PRIVATE:
-        low = reduce(lambda acc, p: acc * 256 + int(p), first.split("."), 0)
-        inside = inside | value.between(low, low + (1 << (32 - bits)) - 1)
-    return F.coalesce(value.isNotNull() & ~inside, F.lit(False))
+
+    def outside(value: Column) -> Column:
+        inside = F.lit(False)
+        for first, bits in PRIVATE:
+            low = reduce(lambda acc, p: acc * 256 + int(p), first.split("."), 0)
+            inside = inside | value.between(low, low + (1 << (32 - bits)) - 1)
+        return value.isNotNull() & ~inside
+
+    # as an array's element the value is worked out once
+    return F.coalesce(F.get(F.transform(F.array(address_value(address)), outside), 0), F.lit(False))
 
 
 def tool_allowed(plan: Column, files: Column, total_bytes: Column) -> Column:
