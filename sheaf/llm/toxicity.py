@@ -46,9 +46,9 @@ CHANCE, PENALTY = 1e-7, 1000.0
 #: Share of toxic texts among those that hold a marking string, at least, and worst words of a text that count.
 MARKED, TOP = 0.35, 3
 #: Words whose scores a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: Texts worked through at once.
-SLICE = 64
+SLICE = 32
 #: Values below and above these count as these.
 FLOOR, CEILING = -1.5, 2.0
 
@@ -281,6 +281,18 @@ def _marked(marks: set[str]):
     return run
 
 
+def _most_counted(words: DataFrame, count: str, most: int):
+    """At most `most` rows, all whose count is above some count, in falling order; found by a histogram, so that tasks send no more."""
+    histogram = dict(words.groupBy(count).agg(F.count("*")).collect())
+    least, taken = None, 0
+    for n in sorted(histogram, reverse=True):
+        if (taken := taken + histogram[n]) > most:
+            break
+        least = n
+    found = words.filter(F.lit(False) if least is None else F.col(count) >= least).toPandas()
+    return found.sort_values([count, "key"], ascending=[False, True], ignore_index=True)
+
+
 def _chance(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
     """Logarithm of an upper bound on the chance of so many toxic texts among those that hold a string."""
     n = toxic + clean
@@ -312,11 +324,11 @@ def train(docs: DataFrame, labels: DataFrame) -> KernelMachine:
         marks = {bytes(k).decode() for k in often["key"][sure]}
         words = found.filter(F.col("kind") == "word")
         seen = words.filter("toxic > 0").select("key", "toxic", "clean").mapInArrow(_marked(marks), "key binary, toxic long, clean long")
-        mine = seen.orderBy(F.desc("toxic"), "key").limit(TOXIC_WORDS).toPandas()
+        mine = _most_counted(seen, "toxic", TOXIC_WORDS)
         if not len(mine):
             return machine
         usual = words.filter("clean > 0")
-        frequent = usual.orderBy(F.desc("clean"), "key").limit(CLEAN_WORDS // 2).toPandas()["key"]
+        frequent = _most_counted(usual.select("key", "clean"), "clean", CLEAN_WORDS // 2)["key"]
         order, size = F.xxhash64("key"), usual.count()
         part = F.shiftrightunsigned(order, 11).cast("double") / float(1 << 53) < CLEAN_WORDS * 5 / max(size, 1)
         spread = usual.filter(part).select("key", order.alias("order")).toPandas().sort_values(["order", "key"])["key"]
