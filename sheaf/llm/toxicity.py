@@ -11,7 +11,7 @@ toxic texts hold it and of the clean class as often as clean texts do, joined by
 words of clean texts are the rest of the clean class, the hardest of them mined by the machine's own scores. The
 machine learns on the Nystroem features of landmarks from both classes, and as its decision is linear in kernels to the
 landmarks, scoring a word needs one table of 32 ** 3 weights only. A sentence scores as its worst word; a logistic
-curve fitted to the sample texts turns a text's TOP worst words, and whether the worst one comes back, into a probability.
+curve fitted to the sample texts, and to copies of the toxic ones with inserted characters, turns a text's TOP worst words, and whether the worst one comes back, into a probability.
 
 The sample has at most TOXIC_TEXTS and CLEAN_TEXTS texts, chosen by a hash of their identifier; scoring reads all texts whole.
 
@@ -25,6 +25,7 @@ from __future__ import annotations
 import heapq
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -45,10 +46,10 @@ LANDMARKS, CLEAN_WORDS, TOXIC_WORDS, HARD_WORDS = 256, 12_000, 2000, 4000
 CHANCE, PENALTY = 1e-7, 1000.0
 #: Share of toxic texts among those that hold a marking string, at least, and worst words of a text that count.
 MARKED, TOP = 0.35, 3
-#: Words whose scores a task remembers.
-REMEMBERED = 150_000
+#: Words whose scores a worker remembers.
+REMEMBERED = 300_000
 #: Texts worked through at once.
-SLICE = 32
+SLICE = 64
 #: Values below and above these count as these.
 FLOOR, CEILING = -1.5, 2.0
 
@@ -251,6 +252,16 @@ class WordScores(dict):
             self.update(zip(new, self.machine.words(new).tolist(), strict=True))
 
 
+_kept: list[WordScores] = []
+
+
+def _scores_of(machine: KernelMachine) -> WordScores:
+    """The scores that this worker remembers from earlier tasks with the same machine."""
+    if not _kept or _kept[0].machine is not machine:
+        _kept[:] = [WordScores(machine)]
+    return _kept[0]
+
+
 def _grams(word: bytes) -> set[str]:
     """The begins of a word by which toxic words are found: three to seven letters."""
     text = "^" + folded(word)
@@ -337,7 +348,8 @@ def train(docs: DataFrame, labels: DataFrame) -> KernelMachine:
         machine.train([bytes(k) for k in mine["key"]], *counts, plain[:CLEAN_WORDS], plain[CLEAN_WORDS:])
         spark = docs.sparkSession
         shared = spark.sparkContext.broadcast(machine)
-        seen = texts.mapInArrow(_raw(shared), "label int, worst array<double>").toPandas()
+        toxic = frozenset(bytes(k) for k in mine["key"][mine["toxic"] > 8 * mine["clean"]])
+        seen = texts.mapInArrow(_raw(shared, toxic), "label int, worst array<double>").toPandas()
         machine.curve(np.stack(seen["worst"].to_list()), seen["label"].to_numpy() == 1)
         found.unpersist()
     finally:
@@ -355,22 +367,30 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _worst(scores: WordScores, texts: list[str | None]) -> tuple[np.ndarray, list[list[bytes]]]:
     """The values of each text's TOP worst words and of its second worst place, and its words."""
     split = [words_of(t) for t in texts]
+    return _worst_words(scores, split), split
+
+
+def _worst_words(scores: WordScores, split: list[list[bytes]]) -> np.ndarray:
     scores.learn([w for words in split for w in words])
-    out = np.full((len(texts), TOP + 1), FLOOR)
+    out = np.full((len(split), TOP + 1), FLOOR)
     for i, words in enumerate(split):
         top = heapq.nlargest(TOP, ((scores[w], w) for w in set(words)))
         out[i, : len(top)] = [value for value, _ in top]
         if top:
             out[i, TOP] = out[i, 0] if words.count(top[0][1]) > 1 else out[i, 1]
-    return out, split
+    return out
+
 
+def _raw(shared, toxic: frozenset[bytes]):
+    """Labels and worst values of the sample texts, and of copies of the toxic ones whose toxic words have a character inserted."""
 
-def _raw(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(shared.value)
+        scores = _scores_of(shared.value)
         for batch in _slices(batches):
-            worst, _ = _worst(scores, batch.column(1).to_pylist())
-            columns = [batch.column(0).cast(pa.int32()), pa.array(worst.tolist(), pa.list_(pa.float64()))]
+            labels, split = batch.column(0).to_pylist(), [words_of(t) for t in batch.column(1).to_pylist()]
+            copies = [[_inserted(w, zlib.crc32(w)) if w in toxic else w for w in words] for label, words in zip(labels, split, strict=True) if label and toxic.intersection(words)]
+            worst = _worst_words(scores, split + copies)
+            columns = [pa.array(labels + [1] * len(copies), pa.int32()), pa.array(worst.tolist(), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["label", "worst"])
 
     return run
@@ -381,7 +401,7 @@ SCORES = "doc_id long, score double, predicted int, worst_word string, sentence
 
 def _predict(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(shared.value)
+        scores = _scores_of(shared.value)
         for batch in _slices(batches):
             out: list[list] = [[], [], [], []]
             texts = batch.column(1).to_pylist()
@@ -409,7 +429,7 @@ def score_texts(docs: DataFrame, machine: KernelMachine, threshold: float = THRE
 
 def _keep(shared, threshold: float, place: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(shared.value)
+        scores = _scores_of(shared.value)
         for batch in _slices(batches):
             worst, _ = _worst(scores, batch.column(0).field(place).to_pylist())
             yield batch.filter(pa.array(scores.machine.probability(worst) < threshold))
