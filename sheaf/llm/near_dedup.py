@@ -59,7 +59,7 @@ class _WordHashes(dict):
     """Hashes of words, kept for as many words as fit a fixed bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
