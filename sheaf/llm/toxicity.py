@@ -269,17 +269,27 @@ def _grams(word: bytes) -> set[str]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of toxic and clean texts of words and of their begins, summed up until a fixed number of strings is held."""
+    held = {"word": (Counter(), Counter()), "gram": (Counter(), Counter())}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for kind, (toxic, clean) in held.items():
+            keys = list(toxic.keys() | clean.keys())
+            columns = [pa.array([kind] * len(keys)), pa.array([k if isinstance(k, bytes) else k.encode() for k in keys], pa.binary())]
+            columns += [pa.array([x[k] for k in keys], pa.int64()) for x in (toxic, clean)]
+            toxic.clear()
+            clean.clear()
+            yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "toxic", "clean"])
+
     for batch in _slices(batches):
-        toxic, clean, grams = Counter(), Counter(), (Counter(), Counter())
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words = set(words_of(text.as_py()))
-            (toxic if label else clean).update(words)
-            grams[0 if label else 1].update(set().union(*(_grams(w) for w in words)))
-        for kind, t, c in (("word", toxic, clean), ("gram", *grams)):
-            keys = list(t.keys() | c.keys())
-            columns = [pa.array([kind] * len(keys)), pa.array([k if isinstance(k, bytes) else k.encode() for k in keys], pa.binary())]
-            columns += [pa.array([x[k] for k in keys], pa.int64()) for x in (t, c)]
-            yield pa.RecordBatch.from_arrays(columns, names=["kind", "key", "toxic", "clean"])
+            side = 0 if label else 1
+            held["word"][side].update(words)
+            held["gram"][side].update(set().union(*(_grams(w) for w in words)))
+        if sum(len(c) for sides in held.values() for c in sides) > REMEMBERED:
+            yield from flush()
+    yield from flush()
 
 
 def _marked(marks: set[str]):
