@@ -33,7 +33,7 @@ SWEEPS, SPILLS = 20, 6
 SINGLE_CELLS = 100_000
 DIMENSIONS = ("source", "lang", "topic")
 #: Characters of markup and noise, by which topics are told apart.
-NOISE = "%&$*#"
+NOISE = "%&$*#!~^"
 
 
 def _blank(text: Column) -> Column:
@@ -47,9 +47,14 @@ def _without(text: Column, marks: str) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """An estimate of tokens: spaces and line ends, plus one."""
+    """Words between white space, without regular expressions."""
     text = F.coalesce(text, F.lit(""))
-    return F.when(_blank(text), 0).otherwise(F.length(text) - F.length(_without(text, " \n")) + 1).cast("long")
+    for mark in "\t\n\v\f\r":
+        text = F.replace(text, F.lit(mark), F.lit(" "))
+    plain = F.trim(text)
+    # no tab or line end is left, so they can mark a space's begin and end; where an end meets a begin, a run goes on
+    runs = F.replace(F.replace(plain, F.lit(" "), F.lit("\t\n")), F.lit("\n\t"), F.lit(""))
+    return F.when(plain == "", 0).otherwise(F.length(runs) - F.length(F.replace(runs, F.lit("\t"), F.lit(""))) + 1).cast("long")
 
 
 def topic_of(text: Column) -> Column:
@@ -161,23 +166,16 @@ def probabilities(docs: DataFrame, **parameters) -> DataFrame:
 
 def mixing_sql(temper: float = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS) -> str:
     """DuckDB SQL for the rows of the registered query."""
-    text = "coalesce(text, '')"
-
-    def without(marks: str) -> str:
-        out = text
-        for mark in marks:
-            out = f"replace({out}, chr({ord(mark)}), '')"
-        return out
-
-    blank = f"NOT regexp_matches({text}, '[^\\x20\\x09-\\x0D]')"
-    size = f"length({text})"
+    space = r"[\x20\x09-\x0D]+"
+    plain = f"trim(regexp_replace(coalesce(text, ''), '{space}', ' ', 'g'), ' ')"
+    size = "length(coalesce(text, ''))"
     steps = [
         f"""rows AS (SELECT doc_id, source, lang,
-            CASE WHEN {blank} THEN 'empty'
-                 WHEN ({size} - length({without("|")})) * 20 >= {size} THEN 'table'
-                 WHEN ({size} - length({without(NOISE)})) * 20 >= {size} THEN 'noisy'
+            CASE WHEN {plain} = '' THEN 'empty'
+                 WHEN ({size} - length(replace(coalesce(text, ''), '|', ''))) * 20 >= {size} THEN 'table'
+                 WHEN ({size} - length(translate(coalesce(text, ''), '{NOISE}', ''))) * 20 >= {size} THEN 'noisy'
                  WHEN {size} < 400 THEN 'short' ELSE 'prose' END AS topic,
-            CASE WHEN {blank} THEN 0 ELSE {size} - length({without(" " + chr(10))}) + 1 END AS n_tokens
+            CASE WHEN {plain} = '' THEN 0 ELSE length({plain}) - length(replace({plain}, ' ', '')) + 1 END AS n_tokens
             FROM documents)""",
         "cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM rows GROUP BY ALL)",
         "f0 AS (SELECT *, tokens AS w FROM cells)",

@@ -74,3 +74,23 @@ def test_odd_rows(odd, odd_extended, none):
         assert M.probabilities(frame).count() == frame.count()
     assert M.sample_documents(none).count() == 0
     assert M.drawn(M.described(none), single_cells=-1).count() == 0
+
+
+def test_words_and_topics(spark):
+    """Words are runs between any white space; each noise character counts."""
+    texts = ["a\tb\vc\fd\re\nf", "  a   b \n\n c  ", "a \t \n b", " \t\r\n\v\f ", "", None, "a b c", "\t\n", "\n\t", "a\n\tb\t\nc", "x" * 500, "|" * 30 + "x" * 500]
+    texts += [f"{mark} " + "word" * 4 for mark in "%&$*#!~^"] + ["word!! " * 100, "word~ " * 100, "word^ " * 100]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = df.select("doc_id", M.token_count(df.text).alias("n"), M.topic_of(df.text).alias("topic")).collect()
+
+    def topic(text):
+        if not text.strip(" \t\n\v\f\r"):
+            return "empty"
+        if text.count("|") * 20 >= len(text):
+            return "table"
+        if sum(map(text.count, "%&$*#!~^")) * 20 >= len(text):
+            return "noisy"
+        return "short" if len(text) < 400 else "prose"
+
+    want = [(i, len((t or "").encode().split()), topic(t or "")) for i, t in enumerate(texts)]
+    assert sorted(map(tuple, got)) == want
