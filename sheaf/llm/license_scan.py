@@ -1,10 +1,11 @@
 """Licence detection by a positional index of rare template words.
 
 Templates are short licence notices with mandatory key phrases. Their words get inverse document frequencies over the
-whole corpus; the index holds, for the rarest words of each template, where they stand in it. In a file every indexed
-word votes for the alignments (template, start) that its postings imply; an alignment on which enough of a template's
-rare words agree is a candidate, and it is a finding if the key phrases stand where the template has them. The base
-phrases are templates that consist of their key phrase, so that their places come out of the same index.
+whole corpus; the index holds, for the rarest word of each key phrase, where it stands in the phrase. In a file every indexed
+word proposes places of phrases, which are compared word by word. A notice is found where all its key phrases follow one another
+in order, each at most WINDOW words nearer or farther than in the template, so added, dropped or reworded words between them do
+no harm. Its share is that of the notice's words which stand there in order. The base phrases are templates that consist of
+their key phrase, so that their places come out of the same index.
 
 Defined results. Null and empty texts have no words and no findings: empty label strings, score 0, null places. Rows with
 null identifier are scanned like others; repeated rows give equal rows. An empty table gives an empty result.
@@ -13,6 +14,7 @@ null identifier are scanned like others; repeated rows give equal rows. An empty
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -20,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rarest words of a template that the index holds.
-RARE_WORDS = 3
+#: Words by which the distance of two key phrases may differ from the template's.
+WINDOW = 8
 
 # Base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -30,7 +32,7 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
-     " documentation files to deal in the software without restriction", ("permission is hereby granted", "software without restriction")),
+     " documentation files the software to deal in the software without restriction", ("permission is hereby granted", "software without restriction")),
     ("apache", "licensed under the apache license version 2 0", ("apache license",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that"
      " the following conditions are met", ("redistribution and use in source and binary forms",)),
@@ -66,6 +68,7 @@ class Template:
             own = phrase.encode().split()
             at = next(i for i in range(len(self.words)) if self.words[i : i + len(own)] == own)
             self.phrases.append((at, own))
+        self.phrases.sort()
 
 
 def default_templates() -> list[Template]:
@@ -73,39 +76,62 @@ def default_templates() -> list[Template]:
     return base + [Template(label, notice, phrases, False) for label, notice, phrases in TEMPLATES]
 
 
+def _in_order(notice: list[bytes], words: list[bytes]) -> int:
+    """The length of the longest sequence of words that stands in both in order."""
+    best = [0] * (len(words) + 1)
+    for word in notice:
+        before = 0
+        for i, other in enumerate(words, 1):
+            here = best[i]
+            best[i] = before + 1 if word == other else max(here, best[i - 1])
+            before = here
+    return best[-1]
+
+
 class RareIndex:
-    """Postings (template, place) of the rarest words of every template."""
+    """Postings (template, phrase, place in it) of the rarest word of every key phrase."""
 
-    def __init__(self, templates: list[Template], idf: dict[bytes, float], rare_words: int = RARE_WORDS):
-        self.templates = templates
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.need = []
+    def __init__(self, templates: list[Template], idf: dict[bytes, float], window: int = WINDOW):
+        self.templates, self.window = templates, window
+        self.postings: dict[bytes, list[tuple[int, int, int]]] = defaultdict(list)
         for t, template in enumerate(templates):
-            inside = {w for _, phrase in template.phrases for w in phrase}
-            rare = sorted(set(template.words), key=lambda w: (-idf[w], w))[: 1 if template.base else rare_words]
-            if not inside & set(rare):  # an alignment always rests on a word of a key phrase too
-                rare[-1] = max(inside, key=lambda w: (idf[w], w))
-            for place, word in enumerate(template.words):
-                if word in rare:
-                    self.postings[word].append((t, place))
-            self.need.append(min(2, len(rare)))
+            for k, (_, own) in enumerate(template.phrases):
+                place = max(range(len(own)), key=lambda i: (idf[own[i]], own[i], -i))
+                self.postings[own[place]].append((t, k, place))
         self.postings = dict(self.postings)
 
+    def _share(self, template: Template, words: list[bytes], start: int, last: int) -> float:
+        n = len(template.words)
+        if start >= 0 and words[start : start + n] == template.words:
+            return 1.0
+        end = last + n - template.phrases[-1][0] + self.window
+        return _in_order(template.words, words[max(start - self.window, 0) : end]) / n
+
     def findings(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """(template, start, share of the notice's words that stand in place) of every verified alignment."""
+        """(template, start, share of the notice's words that stand there in order) of every place with all key phrases."""
         postings = self.postings
-        votes: dict[tuple[int, int], set[int]] = defaultdict(set)
+        found: dict[tuple[int, int], list[int]] = defaultdict(list)
         for i in [i for i, w in enumerate(words) if w in postings]:
-            for t, place in postings[words[i]]:
-                votes[t, i - place].add(place)
+            for t, k, place in postings[words[i]]:
+                own = self.templates[t].phrases[k][1]
+                if i >= place and words[i - place : i - place + len(own)] == own:
+                    found[t, k].append(i - place)
         out = []
-        for (t, start), places in votes.items():
+        for t in sorted(t for t, k in found if k == 0):
             template = self.templates[t]
-            if len(places) < self.need[t]:
-                continue
-            if all(start + at >= 0 and words[start + at : start + at + len(own)] == own for at, own in template.phrases):
-                same = sum(0 <= start + k < len(words) and words[start + k] == w for k, w in enumerate(template.words))
-                out.append((t, start, same / len(template.words)))
+            for first in found[t, 0]:
+                reached = [first]
+                for k, (at, _) in enumerate(template.phrases[1:], 1):
+                    before, own = template.phrases[k - 1]
+                    places, after = found.get((t, k), []), set()
+                    for place in reached:
+                        low = max(place + min(len(own), at - before), place + at - before - self.window)
+                        high = place + at - before + self.window
+                        after.update(places[bisect_left(places, low) : bisect_right(places, high)])
+                    reached = sorted(after)
+                if reached:
+                    start = first - template.phrases[0][0]
+                    out.append((t, max(start, 0), self._share(template, words, start, reached[-1])))
         return out
 
 

@@ -56,6 +56,38 @@ def test_license_notices(spark):
     assert got[1].places[0].start == 50 and got[1].score == 1.0
 
 
+STANDARD = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),'
+    " to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute",
+    "apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+    "bsd": "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by"
+    " the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+}
+VARIANTS = (
+    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose with or without fee is hereby granted"),
+    ("gpl", "under the GNU General Public License, version 2, as published by the Free Software Foundation"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction"),
+    ("apache", "Apache License 2.0"),
+    ("", "Software without restriction. Permission is hereby granted"),
+    ("", "Permission is hereby granted. " + "word " * 60 + "software without restriction"),
+    ("", "with or without fee is hereby granted permission to use copy modify"),
+)
+
+
+def test_standard_notices_and_variants(spark):
+    texts = [*STANDARD.items(), *VARIANTS]
+    rows = [(i, f"{'some words ' * (i % 3)}{text}") for i, (_, text) in enumerate(texts)]
+    out = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i].labels for i in range(len(texts))] == [label for label, _ in texts]
+    assert all(out[i].score == 1.0 for i in range(len(STANDARD)))
+    assert all(p.start >= 0 for r in out.values() for p in r.places)
+
+
 def test_flac_round_trip(odd, odd_extended, none, small):
     for frame in (odd, odd_extended, small):
         want = {}
