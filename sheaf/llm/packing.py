@@ -10,7 +10,7 @@ share, so the number of tasks follows the number of pieces and no group meets in
 identifier and piece, and the order within a task is total, so a task that runs again packs the same way.
 
 Defined results. Null and empty texts are one piece that holds the end id. Rows with null identifier are packed like
-others. Repeated rows are packed once each. An empty table gives an empty result.
+others; an identifier that is no number becomes null. Repeated rows are packed once each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import written
-from sheaf.llm.tokens import encoder
+from sheaf.llm.tokens import token_ids
 
 CAPACITY = 1024
 END_ID = 2
@@ -44,14 +44,12 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder()
         tail = np.array([end_id], dtype="<u4")
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(ids, texts, strict=True):
-                tokens = enc.encode_to_numpy(text.as_py() or "").astype("<u4")
-                tokens = np.concatenate([tokens, tail])
+                tokens = np.concatenate([token_ids(text.as_py()).astype("<u4"), tail])
                 for k, (start, length) in enumerate(cut(len(tokens), capacity)):
                     crc = zlib.crc32(tokens[start : start + length].tobytes())
                     for column, value in zip(out, (doc, k, start, length, crc), strict=True):
@@ -65,7 +63,7 @@ def _pieces(capacity: int, end_id: int):
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(capacity, end_id), PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(_pieces(capacity, end_id), PIECE_SCHEMA)
 
 
 class OpenBins:

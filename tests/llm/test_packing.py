@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -6,12 +7,15 @@ from tokenizers import Tokenizer
 from sheaf.llm.packing import CAPACITY, END_ID, OpenBins, cut, pack_documents
 
 
-def ids_of(text):
+@functools.lru_cache
+def whole_tokenizer():
     import public_tokenizers
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [END_ID]
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ids_of(text):
+    return whole_tokenizer().encode(text or "", add_special_tokens=False).ids + [END_ID]
 
 
 def check(df, rows):
@@ -47,8 +51,10 @@ def test_odd_rows(odd, odd_extended, none):
     assert pack_documents(none).count() == 0
 
 
-def test_special_strings_are_text(spark):
-    rows = [(1, "a <|endoftext|> b"), (2, "a" * 3000), (3, "中文" * 900)]
+def test_special_strings_and_runs(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, "a" * 3000), (3, "中文" * 900), (4, "<|endoftext|>"), (5, "x  <|endoftext|><|endoftext|>\n\n y<|endoftext|")]
+    rows += [(10 + i, run * n) for i, (run, n) in enumerate(((" ", 1_200_000), ("\n", 1_200_000), ("a", 100_000), ("7", 100_000), ("-", 100_000)))]
+    rows += [(20, " " * 5000 + "word" + "\n \t" * 3000 + " end"), (21, "a" + "\u2003" * 9000 + "\x1c" * 5000 + "b" + "\r" * 4096)]
     check(pack_documents(spark.createDataFrame(rows, "doc_id long, text string")), rows)
 
 
