@@ -7,7 +7,8 @@ whatever the length of a text. The decoder verifies the CRC-8 of every frame hea
 numbers, offsets and the MD5 of the samples, and raises FlacError where one fails.
 
 Defined results. Null and empty texts are one block of spaces. Rows with null identifier are stored like others; repeated
-rows give equal rows. An empty table gives an empty result.
+rows give equal rows. An identifier that is no number becomes null. An empty table gives an empty result. `decode_all` reads streams
+of this kind: mono, 8 bits, blocks of 192 samples, one Rice partition, with a seek table; it refuses others.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheaf.llm.common import written
+
 BLOCK = 192
 SEEK_FRAMES = 4
 RATE = 8000
@@ -443,7 +446,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the stream of every text."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_encode, "doc_id long, n_bytes long, media binary")
 
 
@@ -468,24 +471,34 @@ DIGESTS = (
 )
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in _groups(batches, lambda t: len(t or "") + BLOCK):
-        made = [payload(t) for t in texts]
-        streams = encode_all([p for p, _ in made])
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sized = (b.select(["key", "media"]) for b in _with_key(batches))
+    for keys, streams in _groups(sized, len):
         back = decode_all(streams)
         columns = [
-            pa.array(ids, pa.int64()),
-            pa.array([n for _, n in made], pa.int64()),
+            pa.array([k["doc_id"] for k in keys], pa.int64()),
+            pa.array([k["n_bytes"] for k in keys], pa.int64()),
             pa.array([len(b) for b in back], pa.int64()),
-            pa.array([hashlib.sha256(b).hexdigest() for b in back]),
+            pa.array([hashlib.sha256(b).hexdigest() for b in back], pa.string()),
             pa.array([zlib.crc32(b[-16:]) for b in back], pa.int64()),
             pa.array([len(s) for s in streams], pa.int64()),
-            pa.array([hashlib.sha256(s).hexdigest() for s in streams]),
-            pa.array([feature(b) for b in back]),
+            pa.array([hashlib.sha256(s).hexdigest() for s in streams], pa.string()),
+            pa.array([feature(b) for b in back], pa.string()),
         ]
         yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DIGESTS.split(",")])
 
 
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("n_bytes")], names=["doc_id", "n_bytes"])
+        yield pa.RecordBatch.from_arrays([key, batch.column("media")], names=["key", "media"])
+
+
+def describe(media: DataFrame) -> DataFrame:
+    """Digests and features of stored streams (doc_id, n_bytes, media), which are decoded and verified."""
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_describe, DIGESTS)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """Store every text as a stream, read it back and describe both."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digest, DIGESTS)
+    """Store every text as a stream in the shared folder, read the stored streams back and describe both."""
+    return describe(written(encode(docs), "flac-media", {"compression": "uncompressed"}))

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import re
@@ -5,10 +6,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf.llm import edit_counts as E
 from sheaf.llm import flac, language_id, license_scan
-from sheaf.llm.tokens import encoder
+from sheaf.llm.tokens import splitter, token_ids
 
 
 def test_languages_of_held_out_texts(small, odd, odd_extended, none):
@@ -119,8 +121,8 @@ def test_flac_signals_and_damage():
 
 
 def test_edits_equal_encoding_from_scratch():
-    rng, enc = random.Random(6), encoder()
-    pieces = ["a", "b", " ", "  ", "\n", "'s", "'", "1", "é", "!", "the ", "\t", " x", "ll", "re'", "   ", "中"]
+    rng = random.Random(6)
+    pieces = ["<|endoftext|>", "<|endoftext", "|>", ">", "a", "b", " ", "  ", "\n", "'s", "'", "1", "é", "!", "the ", "\t", " x", "ll", "re'", "   ", "中"]
     for _ in range(1500):
         text = "".join(rng.choice(pieces) for _ in range(rng.randrange(60)))
         tree = E.SegmentTree(text, rng.choice([1, 2, 3, 8]))
@@ -133,21 +135,61 @@ def test_edits_equal_encoding_from_scratch():
             start = min(start, end)
             text = text[:start] + new + text[end:]
             assert tree.text() == text and tree.n_chars == len(text)
-            assert tree.n_tokens == len(enc.encode_ordinary(text))
+            assert tree.n_tokens == len(token_ids(text)) and tree.pieces() == splitter().findall(text)
+            assert max(len(own) for own, _ in tree.leaves) <= 2 * tree.leaf
+
+
+@functools.lru_cache
+def whole_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def ids_of(text):
+    """By the vocabulary's tokenizers file."""
+    return whole_tokenizer().encode(text, add_special_tokens=False).ids
+
+
+def test_large_and_repeated_inserts():
+    text = " \n" * 300_000 + "word " * 2000
+    tree, rng = E.SegmentTree(text), random.Random(8)
+    assert tree.n_tokens == len(ids_of(text))
+    before = tree.n_tokens
+    for k in range(40):
+        start = rng.randrange(600_000, len(text))
+        new = "some new words " * rng.randrange(200)
+        tree.edit(start, start + 3, new)
+        text = text[:start] + new + text[start + 3 :]
+    assert tree.text() == text and tree.n_tokens == len(ids_of(text)) != before
+    assert max(len(own) for own, _ in tree.leaves) <= 2 * E.LEAF
+
+
+def test_trees_are_kept(spark, small):
+    """Edits in two rounds, the second on the trees that the first has kept."""
+    rows = [(r.doc_id, r.text, [(3, 9, "new words")]) for r in small.collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, todo array<struct<start:int,end:int,new:string>>")
+    once = E.follow(E.build(df, "todo"), keep=True)
+    again = once.select("doc_id", "text", "lengths", "counts", F.expr("array(named_struct('start', 0, 'end', 1, 'new', 'A b'))").alias("edits"))
+    got = {r.doc_id: (r.tokens_before, r.tokens_after, r.text_sha256) for r in E.follow(again).collect()}
+    for key, text, _ in rows:
+        text = (text or "")[:3] + "new words" + (text or "")[9:]
+        after = "A b" + text[1:]
+        assert got[key] == (len(ids_of(text)), len(ids_of(after)), hashlib.sha256(after.encode()).hexdigest())
 
 
 def test_recount_against_brute_force(small, odd, odd_extended, none):
-    enc = encoder()
     for frame in (small, odd, odd_extended):
         want = []
         for r in frame.collect():
             text = r.text or ""
-            before = len(enc.encode_ordinary(text))
+            before = len(ids_of(text))
             for start, end, new in E.planned_edits(r.text):
                 end = min(end, len(text))
                 start = min(start, end)
                 text = text[:start] + new + text[end:]
-            want.append((r.doc_id, before, len(enc.encode_ordinary(text)), len(text), hashlib.sha256(text.encode()).hexdigest()))
+            want.append((r.doc_id, before, len(ids_of(text)), len(text), hashlib.sha256(text.encode()).hexdigest()))
         got = [(r.doc_id, r.tokens_before, r.tokens_after, r.chars_after, r.text_sha256) for r in E.recount(frame).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert E.recount(none).count() == 0
