@@ -16,8 +16,8 @@ Components come from alternating large-star and small-star steps over written ta
 counts.
 
 Defined results. Null or empty texts and texts without words have n_shingles 0 and are linked with nothing; their
-component_id is their own identifier. Identifiers are compared with nulls last; a component with null identifiers only
-has a null component_id. Repeated rows are in one class. An empty table gives an empty result.
+component_id is their own identifier. Identifiers are compared with nulls last, one that is no number counts as null; a
+component with null identifiers only has a null component_id. Repeated rows are in one class; `keep_one` leaves one of them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -126,8 +126,8 @@ def _sketch(words: int):
                 n.append(len(found))
                 cls.append(class_of(found) if len(found) else None)
                 keys.append(bands(found) if len(found) else np.empty(0, np.int64))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "cls", "bands"])
+            columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "th", "n", "cls", "bands"])
 
     return run
 
@@ -224,10 +224,11 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"):
         self.words, self.percent, self.id_col, self.text_col = words, percent, id_col, text_col
         self.rows = packed(docs)
-        self.ids = F.col(f"{ROW}.`{id_col}`").cast("long")
+        self.ids = F.col(f"{ROW}.`{id_col}`").try_cast("long")
         self.texts = F.col(f"{ROW}.`{text_col}`")
-        schema = "id long, n long, cls binary, bands array<long>"
-        self.sketches = written(self.rows.select(self.ids.alias("id"), self.texts.alias("text")).mapInArrow(_sketch(words), schema), "near-sketches")
+        schema = "id long, th long, n long, cls binary, bands array<long>"
+        rows = self.rows.select(self.ids.alias("id"), self.texts.alias("text"), F.xxhash64(self.texts).alias("th"))
+        self.sketches = written(rows.mapInArrow(_sketch(words), schema), "near-sketches")
         grouped = self.sketches.filter("cls is not null").groupBy("cls")
         self.classes = written(grouped.agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-classes")
         self._link()
@@ -311,10 +312,14 @@ class NearDuplicates:
         cells = left.unionByName(right)
         return cells.groupBy("key", "i", "j").applyInArrow(_compare(self.percent), "a binary, b binary")
 
+    def components(self) -> DataFrame:
+        """(cls, comp) of every class."""
+        named = self.classes.select("cls").join(self.roots.withColumnRenamed("node", "cls"), "cls", "left")
+        return named.select("cls", F.coalesce("root", "cls").alias("comp"))
+
     def groups(self) -> DataFrame:
         """(cls, component_id) of every class: the least identifier of its component."""
-        named = self.classes.select("cls", "rep").join(self.roots.withColumnRenamed("node", "cls"), "cls", "left")
-        named = named.select("cls", "rep", F.coalesce("root", "cls").alias("comp"))
+        named = self.components().join(self.classes.select("cls", "rep"), "cls")
         return named.select("cls", "comp").join(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").drop("comp")
 
     def members_of(self) -> DataFrame:
@@ -325,16 +330,28 @@ class NearDuplicates:
             "kept", F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
         )
 
+    def first_rows(self) -> DataFrame:
+        """The input rows, with all their columns, of which one of each component stays: the one with the smallest identifier,
+        nulls last, of several the one with the smallest hash of its text, and of rows that agree in both any one."""
+        place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+        rows = self.sketches.filter("cls is not null").groupBy("cls", "id", "th").agg(F.count("*").alias("rows")).join(self.components(), "cls")
+        best = rows.groupBy("comp").agg(F.min(place).alias("best"))
+        marked = rows.join(best, "comp").select("id", "th", (place != F.col("best")).alias("gone"), "rows").filter("gone or rows > 1")
+        marked = written(marked.select("id", "th", "gone", F.xxhash64("id", "th").alias("row")), "near-marked")
+        docs = self.rows.withColumn("id", self.ids).withColumn("th", F.xxhash64(self.texts)).withColumn("row", F.xxhash64("id", "th"))
+        docs = maybe_in(docs, "row", written(key_filter(marked, "row"), "near-filter"))
+        other = marked.select("row", F.col("id").alias("own"), F.col("th").alias("own_th"), "gone")
+        same = (F.col("id").eqNullSafe(F.col("own"))) & (F.col("th") == F.col("own_th"))
+        hit = docs.filter("__hit").join(other.withColumnRenamed("row", "own_row"), (F.col("row") == F.col("own_row")) & same, "left")
+        alone = hit.filter("gone is null")
+        repeated = hit.filter("not gone").dropDuplicates(["id", "th"])
+        return unpacked(docs.filter("not __hit").select(ROW).unionByName(alone.select(ROW)).unionByName(repeated.select(ROW)))
+
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     return NearDuplicates(docs, words, percent).members_of()
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The input rows, with all their columns, of documents that are the first of their component."""
-    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("id").alias("__gone")).distinct()
-    gone = written(gone, "near-gone")
-    rows = packed(docs).withColumn("__id", F.col(f"{ROW}.doc_id").cast("long"))
-    rows = maybe_in(rows, "__id", written(key_filter(gone, "__gone"), "near-filter"))
-    hit = rows.filter("__hit").join(gone, F.col("__id") == F.col("__gone"), "left_anti")
-    return unpacked(rows.filter("not __hit").unionByName(hit))
+    """One row of each component, and all rows that are in none."""
+    return NearDuplicates(docs, words, percent).first_rows()

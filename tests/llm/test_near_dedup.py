@@ -68,6 +68,15 @@ def test_keep_one_keeps_one_of_each_component(small):
     assert sorted(r.doc_id for r in keep_one(small).collect()) == sorted({c for _, _, c in brute(rows, 5)})
 
 
+def test_keep_one_drops_rows_not_identifiers(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text), (9, text + " more"), (9, "a text of its own that nobody else has"), (9, "a text of its own that nobody else has"),
+            (None, text), (None, "no identifier and no copy anywhere"), (7, ""), (7, ""), (7, None), (9, "  "), (5, "same id one"), (5, "same id two")]
+    got = sorted(((r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [rows[0], rows[2], *rows[5:]]
+    assert got == sorted(want, key=str)
+
+
 def test_empty(none):
     assert near_duplicates(none).count() == 0
     assert keep_one(none).count() == 0
