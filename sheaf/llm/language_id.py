@@ -6,10 +6,13 @@ normalised. Each language has several centroids, clustered from a bounded sample
 nearest centroid by cosine names the language. A text whose nearest centroid is farther than nearly all of that
 language's sample is marked as rejected.
 
-The sample has at most SAMPLE texts of each language, chosen by a hash of the text; frequencies cover all learning texts.
+The sample has about SAMPLE different texts of each language, or all if there are fewer, chosen by a hash of the text;
+copies count once, so a language that is mostly copies of a few texts keeps them. Frequencies cover all learning texts. What
+is held of a language has a fixed size: sampled texts become vectors before they meet in one group, and CENTROIDS vectors of
+DIMENSIONS floats go to the driver and to every worker.
 
 Defined results. A text that is null or has no letter gets `und` with score 0 and is rejected, as does every text if there
-is nothing to learn from. Repeated rows give equal rows. An empty table gives an empty result.
+is nothing to learn from. Repeated rows give equal rows; an identifier that is no number becomes null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +34,6 @@ DIMENSIONS = 4096
 SAMPLE, CENTROIDS, ROUNDS = 1000, 4, 12
 #: Share of a language's sample that may lie beyond the distance of rejection.
 BEYOND = 0.002
-#: Numbers of texts are broadcast for up to this many languages.
-BROADCAST_LANGUAGES = 10_000
 #: Sharpness of the score: the weight of the best language among all, by cosine.
 SHARPNESS = 25.0
 
@@ -71,10 +72,19 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, names=["cell", "n"])
 
 
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of sampled texts, in batches of a few MB."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            found = [counts(t.as_py()).tobytes() for t in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], names=["lang", "order", "counts"])
+
+
 def _clustered(idf: np.ndarray, centroids: int, rounds: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["order", "text"])
-        x = _normal(np.stack([counts(t) for t in group["text"]]) * idf)
+        group = group.sort_values("order")
+        x = _normal(np.stack([np.frombuffer(v, np.float32) for v in group["counts"]]) * idf)
         k = min(centroids, len(x))
         chosen = [0]
         while len(chosen) < k:  # farthest first
@@ -96,14 +106,13 @@ class CentroidModel:
         seen = {row.cell: row.n for row in cells.collect()}  # DIMENSIONS rows
         rows = seen.pop(-1, 0)
         self.idf = np.log((rows + 1) / (np.array([seen.get(i, 0) for i in range(DIMENSIONS)]) + 1)).astype(np.float32) + 1
-        sizes = written(learn.groupBy("lang").agg(F.count("*").alias("size")), "language-sizes")
-        if sizes.count() <= BROADCAST_LANGUAGES:  # else the join deals the texts out by language
-            sizes = F.broadcast(sizes)
         order = F.xxhash64("text")
-        share = (F.shiftrightunsigned(order, 11).cast("double")) / float(1 << 53)
-        # about `sample` texts of each language, copies counted once: the groups are bounded whatever the input's size
-        taken = learn.withColumn("order", order).join(sizes, "lang").filter(share <= F.lit(1.0 * sample) / F.col("size"))
-        taken = taken.filter(F.col("text").rlike(r"\p{L}")).select("lang", "text", "order").dropDuplicates(["lang", "order"])
+        learn = learn.filter(F.col("text").rlike(r"\p{L}")).withColumn("order", order)
+        sizes = F.broadcast(written(learn.groupBy("lang").agg(F.count_distinct("order").alias("size")), "language-sizes"))  # a row per language
+        share = F.shiftrightunsigned("order", 11).cast("double") / float(1 << 53)
+        taken = learn.join(sizes, "lang").filter(share <= F.lit(1.0 * sample) / F.col("size"))
+        taken = taken.groupBy("lang", "order").agg(F.min("text").alias("text"))
+        taken = taken.mapInArrow(_vectors, "lang string, order long, counts binary")
         fitted = taken.groupBy("lang").applyInPandas(_clustered(self.idf, centroids, rounds), "lang string, centroid array<float>, near double")
         found = sorted(fitted.collect(), key=lambda row: (row.lang, row.near, row.centroid))
         self.langs = [row.lang for row in found]
@@ -139,5 +148,5 @@ def _predict(model):
 def predict_languages(docs: DataFrame, learn: DataFrame, **parameters) -> DataFrame:
     """doc_id, lang_pred, score, cosine and rejected for every text of docs, learnt from (text, lang) of learn."""
     model = docs.sparkSession.sparkContext.broadcast(CentroidModel(learn, **parameters))
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, cosine double, rejected boolean")

@@ -90,6 +90,15 @@ def test_standard_notices_and_variants(spark):
     assert all(p.start >= 0 for r in out.values() for p in r.places)
 
 
+def test_a_language_of_copies_keeps_its_centroid(spark):
+    english = [(i, f"the cat number {i} sat on the mat and looked at {i % 7} birds over there", "en") for i in range(300)]
+    german = [(1000 + i, "der kleine Hund lief über die Straße und schlief später unter dem Baum", "de") for i in range(5000)]
+    df = spark.createDataFrame(english + german, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.CentroidModel(df)
+    assert set(model.langs) == {"de", "en"}
+    assert model.predict("der Hund schlief unter der Straße")[0] == "de" and model.predict("the birds sat there")[0] == "en"
+
+
 def test_flac_round_trip(odd, odd_extended, none, small):
     for frame in (odd, odd_extended, small):
         want = {}
