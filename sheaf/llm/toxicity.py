@@ -16,8 +16,8 @@ curve fitted to the sample texts, and to copies of the toxic ones with inserted
 The sample has at most TOXIC_TEXTS and CLEAN_TEXTS texts, chosen by a hash of their identifier; scoring reads all texts whole.
 
 Defined results. Null and empty texts, and all texts if no toxic words are found, score as texts without any word: near 0.
-Labels that are null or belong to no text are not used; of repeated labels of one text the largest counts. Rows with null
-identifier are scored like others. An empty table gives an empty result.
+Labels that are null or belong to no text are not used; of repeated labels of one text the largest counts, of different
+texts of one identifier the least one. Rows with null identifier are scored like others; an identifier that is no number becomes null. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,7 +67,8 @@ def words_of(text: str | None) -> list[bytes]:
     plain = raw.translate(None, _DROPPED)
     words = plain.split()
     spaced = raw.translate(_TO_SPACE)
-    return words + [b"".join(m.group().split()) for m in _SINGLES.finditer(spaced)]
+    runs = (m for m in _SINGLES.finditer(spaced) if len(raw[m.start() : m.end()].split()) > 1)  # others are one word already
+    return words + [b"".join(m.group().split()) for m in runs]
 
 
 _TO_SPACE = bytes(32 if b in _DROPPED else b for b in range(256))
@@ -332,7 +333,8 @@ def train(docs: DataFrame, labels: DataFrame) -> KernelMachine:
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     bound = F.when(F.col("label") == 1, TOXIC_TEXTS / sizes[1]).otherwise(CLEAN_TEXTS / sizes[0])
     ids = known.filter(share <= bound)  # at most about TOXIC_TEXTS + CLEAN_TEXTS identifiers
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select("label", "text").persist()
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text").persist()
     try:
         n_toxic, n_clean = (texts.filter(F.col("label") == v).count() for v in (1, 0))
         if not n_toxic or not n_clean:
@@ -434,7 +436,7 @@ def _predict(shared, threshold: float):
 def score_texts(docs: DataFrame, machine: KernelMachine, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted, and for toxic texts the worst word and its sentence (from 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_predict(shared, threshold), SCORES)
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(_predict(shared, threshold), SCORES)
 
 
 def _keep(shared, threshold: float, place: int):

@@ -85,3 +85,11 @@ def test_null_labels_do_not_count(spark):
     docs = made(spark)
     labels = docs.select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("toxic")).alias("toxic"))
     assert X.train(docs, labels.unionByName(labels)).slopes[0] >= 0
+
+
+def test_a_spelling_counts_once():
+    from sheaf.llm.toxicity import words_of
+
+    assert words_of("i_d_i_o_t") == [b"idiot"] == words_of("i.d.i.o.t!")
+    assert words_of("i d i o t").count(b"idiot") == 1 and words_of("x i-d i.o t").count(b"xidiot") == 1
+    assert words_of("idi-ot and more") == [b"idiot", b"and", b"more"]
