@@ -36,8 +36,17 @@ def clean(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def remove(df: DataFrame) -> None:
+    """Remove the table that `written` has made for this frame, which can't be used any more."""
+    spark, path = df.sparkSession, df._scratch
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back; cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.options(**(options or {})).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
