@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.scratch import scratch_root, written
+from sheaf.scratch import remove, scratch_root, written
 
-__all__ = ["ROW", "SPACE", "key_filter", "maybe_in", "packed", "scratch_root", "unpacked", "written"]
+__all__ = ["ROW", "SPACE", "key_filter", "maybe_in", "packed", "remove", "scratch_root", "unpacked", "written"]
 
 #: White space of the contracts, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"

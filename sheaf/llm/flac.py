@@ -17,13 +17,14 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import written
+from sheaf.llm.common import remove, written
 
 BLOCK = 192
 SEEK_FRAMES = 4
@@ -34,6 +35,8 @@ LPC_ORDER, LPC_BITS = 4, 10
 CHUNK_FRAMES, CHUNK_LANES = 8192, 4096
 #: Bytes of text from which a group of rows is worked off.
 GROUP_BYTES = 1 << 20
+#: Waves in which the query stores and reads streams: they take up that part of the streams' whole size at a time.
+WAVES = 2
 
 # Fixed values of the format: sync code, subframe types, fixed predictors.
 SYNC = 0xFFF8
@@ -499,6 +502,13 @@ def describe(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_describe, DIGESTS)
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """Store every text as a stream in the shared folder, read the stored streams back and describe both."""
-    return describe(written(encode(docs), "flac-media", {"compression": "uncompressed"}))
+def digests(docs: DataFrame, waves: int = WAVES) -> DataFrame:
+    """Store every text as a stream in the shared folder, read the stored streams back and describe both. The streams are not
+    kept: they are written, read and removed in waves, each of which holds the texts of one range of hashes."""
+    wave = F.pmod(F.xxhash64("text"), F.lit(waves))
+    parts = []
+    for k in range(waves):
+        media = written(encode(docs.filter(wave == k)), "flac-media", {"compression": "uncompressed"})
+        parts.append(written(describe(media), "flac-digests"))
+        remove(media)
+    return reduce(DataFrame.unionByName, parts)
