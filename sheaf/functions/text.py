@@ -133,7 +133,8 @@ def natural_key(text: Column) -> Column:
     return F.array_join(padded, "")
 
 
-def words(text: Column, pattern: str = r"[a-z0-9_]+") -> Column:
+def words(text: Column, pattern: str = r"[\p{L}\p{M}\p{N}_]+") -> Column:
+    """Lower-case words of any script."""
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 

@@ -32,60 +32,105 @@ def doc_counts(t):
     return t.documents.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(words).alias("words"), F.sum(lines).alias("lines"))
 
 
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+_EMAIL = M.EMAIL.replace("'", "''")
+# the search form in SQL
+_AS = ("０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹\u00a0\u2010\u2011\u2012\u2013\u2014\u2212", "0123456789" * 3 + " ------")
+_FORM = f"nfc_normalize(translate(text, '{_AS[0]}\u00ad\u200b\u200c\u200d\u2060\ufeff', '{_AS[1]}'))"
 
 
-@query(f"SELECT doc_id, len(regexp_extract_all(text, '{_EMAIL}'))::INT AS n, list_first(regexp_extract_all(text, '{_EMAIL}')) AS first FROM documents WHERE regexp_matches(text, '{_EMAIL}')")
+def _runs(chain: str, part: str, least: int, most: int, start: str = "") -> str:
+    """Runs of whole groups as codes: (doc_id, code)."""
+    same = "{0}.doc_id = a.doc_id AND {0}.cid = a.cid"
+    return f"""
+    c AS (SELECT doc_id, ch, cid FROM (SELECT doc_id, {_FORM} AS t FROM documents), unnest(regexp_extract_all(t, '{chain}')) WITH ORDINALITY AS u(ch, cid) WHERE length(ch) >= {least}),
+    g AS (SELECT doc_id, cid, p, k FROM c, unnest(regexp_extract_all(ch, '{part}')) WITH ORDINALITY AS u(p, k)),
+    b AS (SELECT * FROM g WHERE regexp_matches(p, '^{start}')),
+    e AS (SELECT a.doc_id, a.cid, a.k AS i, z.k AS j FROM b a JOIN g z ON {same.format('z')} AND z.k BETWEEN a.k AND a.k + {most}),
+    r AS (SELECT a.doc_id, a.cid, i, j, string_agg(x.p, '' ORDER BY x.k) AS code FROM e a JOIN g x ON {same.format('x')} AND x.k BETWEEN i AND j GROUP BY ALL)"""
+
+
+@query(f"SELECT doc_id, len(h)::INT AS n, h[1] AS first FROM (SELECT doc_id, regexp_extract_all({_FORM}, '{_EMAIL}') AS h FROM documents) WHERE len(h) > 0")
 def pii_email(t):
-    found = M.matches(F.col("text"), "email")
-    return t.documents.select("doc_id", F.size(found).alias("n"), F.get(found, 0).alias("first")).filter("n > 0")
+    found = t.documents.select("doc_id", M.hits(F.col("text"), "email").alias("h")).filter("size(h) > 0")
+    return found.select("doc_id", F.size("h").alias("n"), F.get("h", 0).alias("first"))
 
 
-@query("""
-    WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])((?:\\+?[0-9]{1,3}[ .-]?)?\\(?[0-9]{3}\\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4})(?:[^A-Za-z0-9]|$)', 1)) AS hit FROM documents)
-    SELECT doc_id, count(*) AS n FROM c GROUP BY 1""")
+def _counted(t, preset: str):
+    found = t.documents.select("doc_id", F.size(M.matches(F.col("text"), preset)).cast("long").alias("n"))
+    return found.filter("n > 0")
+
+
+@query(f"""
+    WITH c AS (SELECT doc_id, unnest(regexp_extract_all({_FORM}, '\\+?[0-9]+')) AS run FROM documents)
+    SELECT doc_id, count(*) AS n FROM c WHERE regexp_full_match(run, '\\+[1-9][0-9]{{1,14}}') OR regexp_full_match(run, '\\+?0[0-9]{{9,10}}') GROUP BY 1""")
 def pii_phone(t):
-    found = M.matches(F.col("text"), "phone")
-    return t.documents.select("doc_id", F.size(found).cast("long").alias("n")).filter("n > 0")
+    return _counted(t, "phone")
 
 
-@query("""
-    WITH c AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(' ' || replace(text, ' ', '  ') || ' ', '[^A-Za-z0-9]([0-9](?:(?:  |-)?[0-9]){12,18})[^A-Za-z0-9]', 1)), '[^0-9]', '', 'g') AS hit FROM documents),
-    l AS (SELECT doc_id, hit, list_sum(list_transform(range(0, length(hit)), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN hit[length(hit) - i]::INT > 4 THEN hit[length(hit) - i]::INT * 2 - 9 ELSE hit[length(hit) - i]::INT * 2 END ELSE hit[length(hit) - i]::INT END)) AS s FROM c)
+@query(f"""
+    WITH {_runs('[0-9]+(?:[ -][0-9]+)*', '[0-9]+', 13, 18)},
+    l AS (SELECT doc_id, code, list_sum(list_transform(range(0, length(code)), lambda i: CASE WHEN i % 2 = 0 THEN code[length(code) - i]::INT WHEN code[length(code) - i]::INT > 4 THEN code[length(code) - i]::INT * 2 - 9 ELSE code[length(code) - i]::INT * 2 END)) AS s
+          FROM r WHERE length(code) BETWEEN 13 AND 19)
     SELECT doc_id, count(*) AS n FROM l WHERE s % 10 = 0 GROUP BY 1""")
 def pii_card(t):
-    found = M.matches(F.col("text"), "card")
-    return t.documents.select("doc_id", F.size(found).cast("long").alias("n")).filter("n > 0")
+    return _counted(t, "card")
 
 
-@query("""
-    WITH v(id, s) AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'GB82WEST12345698765432' ELSE 'DE89370400440532013' || lpad((s_suppkey % 1000)::VARCHAR, 3, '0') END FROM supplier),
-    d AS (SELECT id, s, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(substr(s, 5) || substr(s, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::HUGEINT ELSE (ascii(c) - 55)::HUGEINT END)),
-                                       lambda acc, x: (acc * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) AS m FROM v)
-    SELECT id AS s_suppkey, m = 1 AS valid FROM d""")
-def pii_iban(t):
-    other = F.concat(F.lit("DE89370400440532013"), F.lpad((F.col("s_suppkey") % 1000).cast("string"), 3, "0"))
-    text = F.when(F.col("s_suppkey") % 2 == 0, "GB82WEST12345698765432").otherwise(other)
-    return t.supplier.select("s_suppkey", M.iban_valid(text).alias("valid"))
+@query(f"""
+    WITH {_runs('[0-9]+(?:[ .-][0-9]+)*', '[0-9]+', 9, 11)}
+    SELECT doc_id, count(*) FILTER (length(code) = 12) AS cccd, count(*) AS cmnd FROM r WHERE length(code) IN (9, 12) GROUP BY 1""")
+def pii_national(t):
+    found = M.matches(F.col("text"), "cccd", "cmnd")
+    kinds = [F.size(F.filter("m", lambda x, k=k: x.preset == k)).cast("long").alias(k) for k in ("cccd", "cmnd")]
+    return t.documents.select("doc_id", found.alias("m")).select("doc_id", *kinds).filter("cmnd > 0")
+
+
+_MOD_97 = """list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(substr(upper(code), 5) || substr(upper(code), 1, 4), ''),
+    lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::HUGEINT ELSE (ascii(c) - 55)::HUGEINT END)), lambda acc, x: (acc * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97)"""
 
 
-def _redacted(t):
-    return t.documents.select("doc_id", "text", M.redact(F.col("text"), ["email"]).alias("clean"))
+@query(f"""
+    WITH {_runs('[A-Za-z0-9]+(?: [A-Za-z0-9]+)*', '[A-Za-z0-9]+', 15, 31, '[A-Za-z]{2}[0-9]{2}')},
+    v AS (SELECT doc_id, {_MOD_97} = 1 AS valid FROM r WHERE length(code) BETWEEN 15 AND 34)
+    SELECT d.doc_id, count(*) FILTER (valid) AS n FROM documents d LEFT JOIN v ON d.doc_id = v.doc_id GROUP BY 1""")
+def pii_iban(t):
+    return t.documents.select("doc_id", F.size(M.matches(F.col("text"), "iban")).cast("long").alias("n"))
 
 
 @query(f"""
-    WITH RECURSIVE r AS (SELECT doc_id, text AS clean, list_distinct(regexp_extract_all(text, '{_EMAIL}')) AS hits FROM documents),
-    o AS (SELECT doc_id, clean, hits, 1 AS i FROM r UNION ALL SELECT doc_id, replace(clean, hits[i], repeat('█', length(hits[i]))), hits, i + 1 FROM o WHERE i <= len(hits))
-    SELECT doc_id, sha256(clean) AS digest, len(hits)::INT AS hits FROM o WHERE i = len(hits) + 1""")
+    WITH v AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'GB82WEST12345698765432' ELSE 'DE' || lpad((s_suppkey % 100)::VARCHAR, 2, '0') || '37040044053201300' || (s_suppkey % 10) END AS code FROM supplier)
+    SELECT s_suppkey, {_MOD_97} = 1 AS valid FROM v""")
+def iban_codes(t):
+    key = F.col("s_suppkey")
+    other = F.concat(F.lit("DE"), F.lpad((key % 100).cast("string"), 2, "0"), F.lit("37040044053201300"), (key % 10).cast("string"))
+    return t.supplier.select("s_suppkey", M.iban_valid(F.when(key % 2 == 0, "GB82WEST12345698765432").otherwise(other)).alias("valid"))
+
+
+# texts around the hits, and the hits as marks, in turn
+_CLEAN = f"""d AS (SELECT doc_id, string_split_regex(text, '{_EMAIL}') AS parts, regexp_extract_all(text, '{_EMAIL}') AS h FROM documents),
+    c AS (SELECT doc_id, h, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(repeat('█', length(h[i])), '')), '') AS clean FROM d)"""
+
+
+@query(f"WITH {_CLEAN} SELECT doc_id, sha256(clean) AS digest, len(h)::INT AS hits FROM c")
 def redact_text(t):
-    n = F.size(F.array_distinct(M.matches(F.col("text"), "email")))
-    return _redacted(t).select("doc_id", F.sha2(F.col("clean").cast("binary"), 256).alias("digest"), n.alias("hits"))
+    text = F.col("text")
+    out = t.documents.select("doc_id", M.redact(text, ["email"]).alias("clean"), F.size(M.hits(text, "email")).alias("hits"))
+    return out.select("doc_id", F.sha2(F.col("clean").cast("binary"), 256).alias("digest"), "hits")
 
 
-@query("SELECT count(*) AS docs, 0::BIGINT AS left_over FROM documents")
+@query(f"""
+    WITH {_CLEAN}
+    SELECT count(*) AS docs, sum(len(h))::BIGINT AS found, sum(len(regexp_extract_all(clean, '{_EMAIL}')))::BIGINT AS left_over,
+           sum(length(clean) - length(replace(clean, '█', '')))::BIGINT AS marks FROM c""")
 def redact_verify(t):
-    left = F.size(M.matches(F.col("clean"), "email"))
-    return _redacted(t).agg(F.count("*").alias("docs"), F.sum(left).cast("long").alias("left_over"))
+    """Search the covered texts again."""
+    text, clean = F.col("text"), F.col("clean")
+    out = t.documents.select(F.size(M.hits(text, "email")).alias("found"), M.redact(text, ["email"]).alias("clean"))
+    marks = F.length(clean) - F.length(F.replace(clean, F.lit("█"), F.lit("")))
+    return out.agg(
+        F.count("*").alias("docs"), F.sum("found").cast("long").alias("found"),
+        F.sum(F.size(M.matches(clean, "email"))).cast("long").alias("left_over"), F.sum(marks).cast("long").alias("marks"),
+    )
 
 
 @query("""
@@ -142,44 +187,58 @@ def detect_lang_vi(t):
 _STOP = ", ".join(f"'{w}'" for w in Q.STOP_WORDS)
 
 
+def _tokens(text: str) -> str:
+    """Folded words, stop words included."""
+    return f"regexp_extract_all(strip_accents(replace(lower({text}), 'đ', 'd')), '[\\p{{L}}\\p{{N}}_]+')"
+
+
 @query(f"""
-    WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents)
+    WITH w AS (SELECT lang, unnest({_tokens('text')}) AS token FROM documents)
     SELECT lang, token, count(*) AS n FROM w WHERE token NOT IN ({_STOP}) GROUP BY ALL""")
 def token_freq(t):
     return Q.token_frequencies(t.documents, "lang", "text")
 
 
 _SENTENCES = r"""
-    s AS (SELECT doc_id, ord, trim(sentence) AS sentence FROM documents, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', e'\\1\n', 'g'), e'\n+', e'\n', 'g'), e'\n')) WITH ORDINALITY AS u(sentence, ord) WHERE trim(sentence) <> ''),
+    s AS (SELECT doc_id, ord, trim(sentence, e' \t\n\r\f\x0B') AS sentence FROM documents, unnest(string_split(regexp_replace(text, '([.!?])\s+', e'\\1\n', 'g'), e'\n')) WITH ORDINALITY AS u(sentence, ord) WHERE trim(sentence, e' \t\n\r\f\x0B') <> ''),
     p AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1)::INT AS position, sentence FROM s)"""
 
 
 @query(f"""
-    WITH {_SENTENCES}, w AS (SELECT doc_id, position, token FROM p, unnest(regexp_extract_all(lower(sentence), '[a-z0-9_]+')) AS u(token) WHERE token NOT IN ({_STOP})),
-    f AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS token FROM documents) WHERE token NOT IN ({_STOP}) GROUP BY ALL),
-    q AS (SELECT w.doc_id, w.position, sum(n) / sqrt(count(*)) AS score FROM w JOIN f ON w.doc_id = f.doc_id AND w.token = f.token GROUP BY ALL),
+    WITH {_SENTENCES}, w AS (SELECT doc_id, position, token FROM p, unnest({_tokens('sentence')}) AS u(token) WHERE token NOT IN ({_STOP})),
+    f AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({_tokens('text')}) AS token FROM documents) WHERE token NOT IN ({_STOP}) GROUP BY ALL),
+    q AS (SELECT w.doc_id, w.position, sum(n) / greatest(1, sqrt(count(*))) AS score FROM w JOIN f ON w.doc_id = f.doc_id AND w.token = f.token GROUP BY ALL),
     r AS (SELECT p.doc_id, p.position, sentence, round(coalesce(score, 0), 6) AS score FROM p LEFT JOIN q ON p.doc_id = q.doc_id AND p.position = q.position)
-    SELECT doc_id, position, sha256(sentence) AS digest, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS k FROM r) WHERE k <= 3""")
+    SELECT doc_id, position, sha256(left(sentence, 1000)) AS digest, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, position) AS k FROM r) WHERE k <= 3""")
 def summarize_topk(t):
-    out = Q.summary(t.documents, "doc_id", "text", 3)
+    out = Q.summary(t.documents, "doc_id", "text")
     return out.select("doc_id", "position", F.sha2(F.col("sentence").cast("binary"), 256).alias("digest"), "score")
 
 
 @query(f"""
-    WITH {_SENTENCES}, q AS (SELECT doc_id, position, round((SELECT count(DISTINCT x) FROM unnest(regexp_extract_all(lower(sentence), '[a-z0-9_]+')) u(x) WHERE x IN ('license', 'released', 'under', 'mit')) / 4.0, 6) AS score FROM p)
-    SELECT doc_id, position, score FROM q WHERE score > 0 ORDER BY score DESC, doc_id, position LIMIT 20""")
+    WITH p AS (SELECT doc_id, (ord - 1)::INT AS position, trim(quote, e' \\t\\r\\f\\x0B') AS quote FROM documents, unnest(regexp_extract_all(text, '[^\\n.!?]{{1,1000}}[^\\n.!?]{{0,1000}}[.!?]?')) WITH ORDINALITY AS u(quote, ord)),
+    q AS (SELECT doc_id, position, quote, (SELECT count(DISTINCT x) FROM unnest({_tokens('quote')}) u(x) WHERE x IN ('license', 'released', 'under', 'mit')) / 4.0 AS score FROM p)
+    SELECT doc_id, position, sha256(quote) AS digest, round(score, 6) AS score FROM q WHERE score > 0 ORDER BY score DESC, doc_id, position LIMIT 20""")
 def ask_passages(t):
-    return Q.answers(t.documents, "doc_id", "text", "Released under the MIT license?", 20).select("doc_id", "position", "score")
+    out = Q.answers(t.documents, "doc_id", "text", "Released under the MIT license?", 20)
+    return out.select("doc_id", "position", F.sha2(F.col("quote").cast("binary"), 256).alias("digest"), F.round("score", 6).alias("score"))
 
 
-@query("""
-    WITH l AS (SELECT doc_id, ord, list_filter(list_transform(string_split_regex(line, '[|\\t]'), lambda c: trim(c)), lambda c: c <> '') AS cells FROM documents, unnest(string_split(text, e'\\n')) WITH ORDINALITY AS u(line, ord)),
-    r AS (SELECT *, ord - row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM l WHERE len(cells) >= 2),
-    s AS (SELECT *, count(*) OVER (PARTITION BY doc_id, island) AS size FROM r)
-    SELECT doc_id, "table"::INT AS "table", count(*) AS rows, sum(len(cells))::BIGINT AS cells FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY island) AS "table" FROM s WHERE size >= 2) GROUP BY ALL""")
+@query(r"""
+    WITH l AS (SELECT doc_id, ord, trim(line, e' \t\r\f\x0B') AS line FROM documents, unnest(string_split_regex(text, '\r\n|[\n\r\v\f\x1c-\x1e\x{85}\x{2028}\x{2029}]')) WITH ORDINALITY AS u(line, ord)),
+    k AS (SELECT doc_id, ord, CASE WHEN contains(line, '|') THEN list_transform(string_split(replace(trim(line, '|'), '\|', chr(1)), '|'), lambda c: trim(replace(c, chr(1), '\|'), e' \t\r\f\x0B'))
+                                   ELSE string_split_regex(line, '\t| {2,}') END AS cells FROM l),
+    r AS (SELECT *, ord - row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS island FROM k WHERE len(cells) > 1 AND len(list_filter(cells, lambda c: c <> '')) > 0),
+    s AS (SELECT *, count(*) OVER (PARTITION BY doc_id, island) AS size FROM r WHERE len(list_filter(cells, lambda c: NOT regexp_full_match(c, ':?-{2,}:?'))) > 0)
+    SELECT doc_id, "table"::INT AS "table", count(*) AS rows, sum(len(cells))::BIGINT AS cells, sha256(string_agg(array_to_string(cells, '|'), e'\n' ORDER BY ord)) AS digest
+    FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY island) AS "table" FROM s WHERE size >= 2) GROUP BY ALL""")
 def line_tables(t):
     out = Q.line_tables(t.documents, "doc_id", "text")
-    return out.groupBy("doc_id", "table").agg(F.count("*").alias("rows"), F.sum(F.size("cells")).alias("cells"))
+    lines = F.array_sort(F.collect_list(F.struct("row", F.array_join("cells", "|").alias("line"))))
+    text = F.array_join(F.transform(lines, lambda r: r.line), "\n")
+    return out.groupBy("doc_id", "table").agg(
+        F.count("*").alias("rows"), F.sum(F.size("cells")).alias("cells"), F.sha2(text.cast("binary"), 256).alias("digest")
+    )
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1")
@@ -249,7 +308,7 @@ def word_diff(t):
 
 
 @query("""
-    WITH w AS (SELECT conv_id, role, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM conversations),
+    WITH w AS (SELECT conv_id, role, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM conversations),
     a AS (SELECT conv_id, word, count(*) AS a FROM w WHERE role = 'user' GROUP BY ALL), b AS (SELECT conv_id, word, count(*) AS b FROM w WHERE role = 'assistant' GROUP BY ALL),
     j AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b FROM a FULL OUTER JOIN b ON a.conv_id = b.conv_id AND a.word = b.word)
     SELECT conv_id, sum(a)::BIGINT AS n_left, sum(b)::BIGINT AS n_right, sum(least(a, b))::BIGINT AS n_both, round(2.0 * sum(least(a, b)) / (sum(a) + sum(b)), 6) AS f1 FROM j GROUP BY 1""")

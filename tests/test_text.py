@@ -22,6 +22,8 @@ def test_overlapping_targets_and_checksums(spark):
     assert one(spark, M.iban_valid(F.lit("GB82 WEST 1234 5698 7654 33"))) is False
     assert one(spark, F.size(M.matches(F.col("v"), "cccd")), "ID: 123 456 789 012.") == 1
     assert one(spark, F.size(M.matches(F.col("v"), "cccd")), "1123456789012") == 0
+    assert one(spark, F.size(M.matches(F.col("v"), "iban")), text) == 1
+    assert one(spark, M.hits(F.col("v"), "iban", "card"), text) == ["4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"]
 
 
 def test_overlaps_against_a_plain_scan():
@@ -41,6 +43,56 @@ def test_redaction_leaves_nothing(spark):
     text = "write a@b.org or a@b.org.uk, card 4111111111111111"
     clean = one(spark, M.redact(F.col("v"), ["email", "card"]), text)
     assert len(clean) == len(text) and "@" not in clean and "4111" not in clean
+    assert M.covered("mail b@c.org or ab@c.org", ["email"], "#") == "mail ####### or ########"
+    assert M.covered("a\u200bb@c.org x", ["email"], "#") == "######### x"
+    assert M.covered("card ４１１１\u200b1111 1111 1111!", ["card"], "#") == "card " + "#" * 19 + "!"
+    assert M.covered("e\u0301a@b.com@c.org, 0912345678", ["email", "phone"], "#") == "e\u0301" + "#" * 13 + ", " + "#" * 10
+    assert M.covered(None, ["email"], "#") is None and M.covered("", ["email"], "#") == ""
+
+
+def windows(text, pattern, lengths, valid, edge):
+    """All places by trying every substring."""
+    import re
+
+    out = []
+    for i in range(len(text)):
+        for j in range(i + 1, len(text) + 1):
+            code = re.sub("[^A-Za-z0-9]", "", text[i:j])
+            outside = (text[i - 1 : i], text[j : j + 1])
+            if len(code) in lengths and re.fullmatch(pattern, text[i:j]) and not any(x and re.match(edge, x) for x in outside) and valid(code):
+                out.append((i, j))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(
+    ("preset", "pattern", "edge"),
+    [("card", r"[0-9](?:[ -]?[0-9])*", "[0-9]"), ("cccd", r"[0-9](?:[ .-]?[0-9])*", "[0-9]"), ("cmnd", r"[0-9](?:[ .-]?[0-9])*", "[0-9]"),
+     ("iban", r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9])*", "[A-Za-z0-9]")],
+)
+def test_places_against_all_substrings(preset, pattern, edge):
+    rng = random.Random(5)
+    parts = ["4111", "1111", "12", "123456", "7", " ", " ", "-", ".", "x", "DE89", "GB82 WEST 1234 5698 7654 32", "3704 0044 0532 0130 00", "4111111111111111"]
+    check = {"card": M.luhn, "iban": M.iban}.get(preset, lambda code: True)
+    for _ in range(150):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
+        assert sorted((i, j) for _, i, j in M.places(text, [preset])) == windows(text, pattern, M.LENGTHS[preset], check, edge), text
+
+
+def test_phones():
+    assert [(i, j) for _, i, j in M.places("+84912345678, 0912345678; 5+84912345678 +0912345678 00912345678901 ++12", ["phone"])] == [(0, 12), (14, 24), (41, 51), (68, 71)]
+
+
+def test_folded_words_and_passages():
+    assert Q.tokens("The naïve Đỗ café, der Hund_1") == ["naive", "do", "cafe", "der", "hund_1"][:1] + ["cafe", "der", "hund_1"]
+    assert Q.passages("One. Two!\nThree") == ["One.", "Two!", "Three"] and len(Q.passages("x" * 5000)) == 3
+    assert [s["sentence"] for s in Q.best_sentences("A cat. A cat sat.\n\nNothing", 1)] == ["A cat sat."]
+
+
+def test_lines_of_tables(spark):
+    text = "a  b\tc\n\n| x | y \\| z |\n|---|:--:|\n| 1 |  |\n| 2 | 3\nend\none  two"
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    got = [(r.table, r.row, list(r.cells)) for r in Q.line_tables(df, "id", "text").orderBy("table", "row").collect()]
+    assert got == [(1, 1, ["x", "y \\| z"]), (1, 2, ["1", ""]), (1, 3, ["2", "3"])]
 
 
 @pytest.mark.parametrize(
