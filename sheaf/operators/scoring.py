@@ -230,6 +230,25 @@ def table_similarity(a: list[list[str]], b: list[list[str]], most_cells: int = 5
     return 1 - cost / max(sizes)
 
 
+@F.pandas_udf(T.DoubleType())
+def table_similarities(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarities of tables (arrays of rows); null where one is missing or too large."""
+
+    def one(x, y):
+        return None if x is None or y is None else table_similarity([list(r) for r in x], [list(r) for r in y])
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+def legacy_fidelity(cer: Column, heading_distance: Column, teds: Column) -> Column:
+    """The mean of what is left of the text, the headings and, where there are tables, the tables."""
+
+    def left(x: Column) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - x))
+
+    return mean_of(left(cer), left(heading_distance), teds.cast("double"))
+
+
 def iou(a: dict[str, Column], b: dict[str, Column]) -> Column:
     """Intersection over union of boxes; 0 where one is degenerate."""
     width = F.greatest(F.least(a["right"], b["right"]) - F.greatest(a["left"], b["left"]), F.lit(0.0))
