@@ -88,6 +88,22 @@ def expand_column(selector: str, n: Column) -> Column:
     return F.concat(*parts)
 
 
+def selector_error(selector: str, n: Column) -> Column:
+    """Which token of a selector names a page that a document of n pages doesn't have; null where all are there."""
+    found = []
+    for token in selector.replace(" ", "").split(","):
+        kind, *bounds = parse_selector(token)[0]
+        if kind == "even":
+            beyond = n < 2
+        elif kind != "range":
+            beyond = n < 1
+        else:
+            first, last = (F.lit(v) if how == "at" else n - v for how, v in bounds)
+            beyond = (F.least(first, last) < 1) | (F.greatest(first, last) > n)
+        found.append(F.when(beyond, F.lit(token)))
+    return F.when(n < 1, F.lit(selector.replace(" ", "").split(",")[0])).otherwise(F.coalesce(*found))
+
+
 def counted(pages: DataFrame) -> DataFrame:
     """One row per document with its number of pages, n."""
     return pages.groupBy("doc").agg(F.max("page").cast("int").alias("n"))

@@ -26,12 +26,14 @@ def edited(table: DataFrame, key: str, changes: DataFrame, removed: DataFrame, a
 
 
 def dotted_names(fields: DataFrame, steps: int = 8) -> DataFrame:
-    """(id, name): names of form fields from the root on, joined by dots; fields: id, parent, part."""
+    """(id, name): names of form fields from the root on, joined by dots; fields: id, parent, part. Fields below more
+    than `steps` others are an error."""
     out = fields.select("id", F.col("parent").alias("at"), F.col("part").alias("name"))
     up = F.broadcast(fields.select(F.col("id").alias("at"), F.col("parent").alias("up"), F.col("part").alias("more")))
     for _ in range(steps):
         out = out.join(up, "at", "left").select("id", F.col("up").alias("at"), F.concat_ws(".", "more", "name").alias("name"))
-    return out.select("id", "name")
+    deep = F.raise_error(F.concat(F.lit("field nested too deep: "), F.col("id").cast("string")))
+    return out.filter(F.when(F.col("at").isNull(), F.lit(True)).otherwise(deep.cast("boolean"))).select("id", "name")
 
 
 def unlocked(flags: Column) -> Column:

@@ -5,100 +5,126 @@ Null means that a score is unavailable and never counts as zero. Tree and word a
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Texts longer than this have no character error rate.
-CHARACTERS = 100_000
+#: Characters of a text, and cells of a comparison once equal begins and ends are gone, beyond which there is no error rate.
+CHARACTERS, CELLS = 100_000, 4_000_000
 
 
-def character_error_rate(reference: Column, got: Column) -> Column:
-    """Distance over the reference's length; 0 or 1 for an empty reference; null beyond the cap."""
-    size = F.length(reference)
-    return (
-        F.when(F.greatest(size, F.length(got)) > CHARACTERS, None)
-        .when(size == 0, F.when(F.length(got) == 0, 0.0).otherwise(1.0))
-        .otherwise(F.levenshtein(reference, got) / size)
-    )
+def trimmed(a: Sequence, b: Sequence) -> tuple[int, int]:
+    """Lengths of the common begin, and of the common end behind it."""
+    start, most = 0, min(len(a), len(b))
+    while start < most and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < most - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    return start, end
+
+
+def _places(a: Sequence) -> dict:
+    """For each item the bits of its places."""
+    out: dict = {}
+    for i, x in enumerate(a):
+        out.setdefault(x, []).append(i)
+    return {x: sum(1 << i for i in at) for x, at in out.items()}
+
+
+def distance(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of two sequences, a column of the table at a time as bits of one number."""
+    start, end = trimmed(a, b)
+    a, b = sorted((a[start : len(a) - end], b[start : len(b) - end]), key=len)
+    if not a:
+        return len(b)
+    places, full, top = _places(a), (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, score = full, 0, len(a)
+    for y in b:
+        equal = places.get(y, 0)
+        diagonal = (((equal & up) + up) ^ up) | equal
+        right, left = down | (full & ~(diagonal | up)), up & diagonal
+        score += 1 if right & top else -1 if left & top else 0
+        right, left, either = (right << 1 | 1) & full, left << 1 & full, equal | down
+        up, down = left | (full & ~(either | right)), right & either
+    return score
+
+
+def character_rate(reference: str, got: str) -> float | None:
+    """Distance over the reference's length, texts in NFC with white space collapsed; 0 or 1 for an empty reference; None beyond
+    the limits."""
+    a, b = (" ".join(unicodedata.normalize("NFC", x).split()) for x in (reference, got))
+    if max(len(a), len(b)) > CHARACTERS:
+        return None
+    if not a:
+        return float(bool(b))
+    both = sum(trimmed(a, b))
+    return None if (len(a) - both) * (len(b) - both) > CELLS else distance(a, b) / len(a)
 
 
-def distance(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences, one row at a time."""
-    if len(a) < len(b):
-        a, b = b, a
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1]
+@F.pandas_udf(T.DoubleType())
+def character_error_rate(reference: pd.Series, got: pd.Series) -> pd.Series:
+    return pd.Series([character_rate(x or "", y or "") for x, y in zip(reference, got, strict=True)], dtype=float)
 
 
 @F.pandas_udf(T.DoubleType())
 def word_error_rate(reference: pd.Series, got: pd.Series) -> pd.Series:
+    """Distance in words over the reference's number of words, texts in NFC."""
+
     def rate(x, y):
-        a, b = (x or "").split(), (y or "").split()
-        return (0.0 if not b else 1.0) if not a else distance(a, b) / len(a)
+        a, b = (unicodedata.normalize("NFC", t or "").split() for t in (x, y))
+        return float(bool(b)) if not a else distance(a, b) / len(a)
 
     return pd.Series([rate(x, y) for x, y in zip(reference, got, strict=True)], dtype=float)
 
 
+def _common_lengths(a: Sequence, b: Sequence) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and every begin of b."""
+    places, full = _places(b), (1 << len(b)) - 1
+    row = full
+    for x in a:
+        hit = row & places.get(x, 0)
+        row = ((row + hit) | (row - hit)) & full
+    bits = np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    return np.concatenate([[0], np.cumsum(np.unpackbits(bits, bitorder="little")[: len(b)] == 0)])
+
+
+def common_places(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in space that grows with the lengths only: the middle of one sequence meets
+    the other where both halves have most in common."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, m = todo.pop()
+        start, end = trimmed(a[i:j], b[k:m])
+        out += [(i + n, k + n) for n in range(start)] + [(j - n, m - n) for n in range(1, end + 1)]
+        i, j, k, m = i + start, j - end, k + start, m - end
+        if i == j or k == m:
+            continue
+        if j - i == 1:
+            out += [(i, n) for n in range(k, m) if b[n] == a[i]][:1]
+            continue
+        half = (i + j) // 2
+        first, second = _common_lengths(a[i:half], b[k:m]), _common_lengths(a[half:j][::-1], b[k:m][::-1])
+        at = k + int((first + second[::-1]).argmax())
+        todo += [(i, half, k, at), (half, j, at, m)]
+    return sorted(out)
+
+
 def shortest_edits(a: list, b: list) -> list[tuple[str, int, int]]:
-    """Myers' greedy edit script: (kind, place in a, place in b) of every deletion and insertion, in order."""
-    start = 0
-    while start < len(a) and start < len(b) and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    old, new = a[start : len(a) - end], b[start : len(b) - end]
-    n, m = len(old), len(new)
-    if not n or not m:
-        return [("delete", start + i, start) for i in range(n)] + [("insert", start, start + j) for j in range(m)]
-    # rounds[d][i]: furthest place in `old` with d edits on diagonal 2 i - d
-    rounds: list[list[int]] = []
-    for d in range(n + m + 1):
-        last = rounds[-1] if rounds else []
-        here = []
-        for i in range(d + 1):
-            k = 2 * i - d
-            if d == 0:
-                x = 0
-            elif i == 0:
-                x = last[0]
-            elif i == d:
-                x = last[i - 1] + 1
-            else:
-                right, down = last[i - 1] + 1, last[i]
-                x = down if down >= right else right
-            y = x - k
-            while x < n and y < m and old[x] == new[y]:
-                x += 1
-                y += 1
-            here.append(x)
-            if x >= n and y >= m:
-                rounds.append(here)
-                return [(kind, x + start, y + start) for kind, x, y in _walk_back(rounds, i)]
-        rounds.append(here)
-    return []
-
-
-def _walk_back(rounds: list[list[int]], i: int) -> list[tuple[str, int, int]]:
-    out = []
-    for d in range(len(rounds) - 1, 0, -1):
-        last = rounds[d - 1]
-        down = i == 0 or (i != d and last[i] >= last[i - 1] + 1)
-        if not down:
-            i -= 1
-        x = last[i]
-        y = x - (2 * i - (d - 1))
-        out.append(("insert" if down else "delete", x, y))
-    return out[::-1]
+    """A shortest edit script: (kind, place in a, place in b) of every deletion and insertion, in order."""
+    out, x, y = [], 0, 0
+    for i, j in [*common_places(a, b), (len(a), len(b))]:
+        out += [("delete", n, y) for n in range(x, i)] + [("insert", i, n) for n in range(y, j)]
+        x, y = i + 1, j + 1
+    return out
 
 
 def word_changes(a: str, b: str) -> list[dict]:
@@ -195,7 +221,7 @@ def tree_distance(a: tuple, b: tuple, rename) -> float:
 
 @lru_cache(maxsize=4096)
 def _ratio(a: str, b: str) -> float:
-    return distance(list(a), list(b)) / max(len(a), len(b), 1)
+    return distance(a, b) / max(len(a), len(b), 1)
 
 
 def heading_tree(headings: list[tuple[int, str]]) -> tuple:

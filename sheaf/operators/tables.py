@@ -70,12 +70,29 @@ def text_of_blocks(blocks: Column) -> Column:
     return F.array_join(F.transform(blocks, line), "\n\n")
 
 
-def cascaded(styles: DataFrame, properties: list[str], steps: int = 16) -> DataFrame:
-    """(style, properties): each from the nearest of the style and its ancestors that sets it; at most `steps` ancestors."""
+#: Ancestors that a style may have.
+ANCESTORS = 16
+
+
+def _climbed(styles: DataFrame, properties: list[str], steps: int) -> DataFrame:
+    """Styles after `steps` joins with their ancestors; __next is the ancestor that would come next."""
     current = styles.select("style", F.col("based_on").alias("__next"), *properties)
-    base = F.broadcast(styles.select(F.col("style").alias("__at"), F.col("based_on").alias("__up"), *[F.col(p).alias(f"__{p}") for p in properties]))
+    base = styles.select(F.col("style").alias("__at"), F.col("based_on").alias("__up"), *[F.col(p).alias(f"__{p}") for p in properties])
     for _ in range(steps):
         current = current.join(base, F.col("__next") == F.col("__at"), "left").select(
             "style", F.col("__up").alias("__next"), *[F.coalesce(p, f"__{p}").alias(p) for p in properties]
         )
-    return current.drop("__next")
+    return current
+
+
+def chain_faults(styles: DataFrame, steps: int = ANCESTORS) -> DataFrame:
+    """Styles with more than `steps` ancestors, those in a circle among them."""
+    return _climbed(styles, [], steps).filter("__next is not null").select("style")
+
+
+def cascaded(styles: DataFrame, properties: list[str], steps: int = ANCESTORS) -> DataFrame:
+    """(style, properties): each from the nearest of the style and its ancestors that sets it. A style that `chain_faults` names
+    is an error."""
+    deep = F.raise_error(F.concat(F.lit("style chain too deep: "), F.col("style").cast("string")))
+    found = _climbed(styles, properties, steps)
+    return found.filter(F.when(F.col("__next").isNull(), F.lit(True)).otherwise(deep.cast("boolean"))).drop("__next")

@@ -36,25 +36,48 @@ def predicate(text: str) -> Column:
     raise RecipeError(f"recipe predicate: cannot read {text!r}")
 
 
+POLICIES = ("stop", "skip", "continue")
+
+
 def run(df: DataFrame, steps: list[dict], tools: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Run steps {tool, if, on_error} over df, which may have an `error` column.
+    """Run steps {tool, if, on_error} over df; every row is an item with a recipe run of its own.
 
-    on_error decides about rows that an earlier step marked: `stop` and `skip` pass them by unchanged, `continue` clears the mark first.
+    A row whose predicate doesn't hold passes a step by. A tool marks a row that it can't work on in the column `error`; the step's
+    on_error decides what becomes of the row: `stop` (the default) ends its run, so it keeps the mark and all later steps pass it
+    by; `skip` drops it; `continue` hands it on as it was before the step. The latter notes the fault in `warnings`. A tool that
+    raises fails for all rows at once: `stop` raises, the others treat every row of the step as marked.
     """
 
-    def step(frame: DataFrame, spec: dict) -> DataFrame:
+    def step(frame: DataFrame, numbered: tuple[int, dict]) -> DataFrame:
+        number, spec = numbered
+        policy = spec.get("on_error", "stop")
         if spec["tool"] not in tools:
             raise RecipeError(f"unknown tool {spec['tool']!r}")
-        if spec.get("on_error") == "continue":
-            frame = frame.withColumn("error", F.lit(None).cast("string"))
+        if policy not in POLICIES:
+            raise RecipeError(f"unknown policy {policy!r}")
         fits = F.col("error").isNull()
         if spec.get("if"):
             fits = fits & predicate(spec["if"])
-        done = tools[spec["tool"]](frame.filter(fits))
-        return done.unionByName(frame.filter(~fits), allowMissingColumns=True)
+        mine, others = frame.filter(fits), frame.filter(~fits)
+        try:
+            done = tools[spec["tool"]](mine.withColumn("__before", F.struct(*[F.col(f"`{c}`") for c in frame.columns])))
+        except Exception as fault:
+            if policy == "stop":
+                raise RecipeError(f"step {number}: {fault}") from fault
+            done = mine.withColumn("__before", F.struct(*[F.col(f"`{c}`") for c in frame.columns])).withColumn("error", F.lit(str(fault)))
+        failed = F.col("error").isNotNull()
+        if policy == "skip":
+            done = done.filter(~failed)
+        elif policy == "continue":
+            note = F.concat(F.col("warnings"), F.array(F.concat(F.lit(f"step {number}: "), "error")))
+            old = {c: F.when(failed, F.col("__before")[c]).otherwise(F.col(f"`{c}`")).alias(c) for c in frame.columns if c not in ("error", "warnings")}
+            new = [F.col(f"`{c}`") for c in done.columns if c not in (*frame.columns, "__before")]
+            done = done.select(*old.values(), *new, F.lit(None).cast("string").alias("error"), F.when(failed, note).otherwise(F.col("warnings")).alias("warnings"))
+        return done.drop("__before").unionByName(others, allowMissingColumns=True)
 
     start = df if "error" in df.columns else df.withColumn("error", F.lit(None).cast("string"))
-    return reduce(step, steps, start)
+    start = start if "warnings" in start.columns else start.withColumn("warnings", F.array().cast("array<string>"))
+    return reduce(step, enumerate(steps, 1), start)
 
 
 def recipe_key(recipe: dict) -> str:

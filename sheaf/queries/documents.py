@@ -74,16 +74,13 @@ def repeated_furniture(t):
     return found.join(hosts, "host").filter(F.col("pages") >= F.greatest(F.lit(2), F.ceil(F.col("of_host") / 5))).drop("of_host")
 
 
-# A small graph of converters with measured and unmeasured edges.
-EDGES = [
-    ("md", "ir", "core", ["local", "cloud"], 0.934, 1.0, 10.0), ("html", "ir", "core", ["local", "cloud"], 1.0, 1.0, 10.0), ("ir", "html", "core", ["local", "cloud"], 0.96, 1.0, 10.0),
-    ("ir", "md", "core", ["local"], 0.97, 0.989, 10.0), ("ir", "docx", "converter", ["local", "cloud"], 0.962, 0.975, 250.0), ("ir", "epub", "converter", ["local"], 0.795, 0.786, 200.0),
-    ("docx", "pdf", "office", ["cloud"], 0.688, 0.75, 2860.0), ("ir", "pdf", "printer", ["local", "cloud"], 0.582, 0.25, 20.0), ("docx", "ir", "converter", ["local"], 0.979, 1.0, 310.0),
-    ("pdf", "ir", "layout", ["cloud"], 0.492, 0.562, 14740.0), ("odt", "docx", "office", ["local"], None, None, None), ("pdf", "pptx", "office", ["local"], 0.485, 0.0, 970.0),
-]
-_VALUES = ", ".join(f"('{a}', '{b}', '{e}', {r}, {'NULL' if f is None else f}, {'NULL' if d is None else d}, {'NULL' if p is None else p})" for a, b, e, r, f, d, p in EDGES)
-_GRAPH = f"""e(from_id, to_id, engine, runtime, fidelity, editability, p50_ms) AS (VALUES {_VALUES}),
-    c AS (SELECT *, CASE WHEN fidelity IS NULL THEN 1.55 ELSE 0.30 * (1 - fidelity) + 0.60 * (1 - editability) + 0.10 * least(p50_ms / 5000.0, 1.0) + 0.05 END AS cost FROM e)"""
+# A graph over the nations: two edges lead out of each, with measures made of its key; some are not measured.
+_GRAPH = """n AS (SELECT n_nationkey AS k, n_regionkey AS r, s FROM nation, (VALUES (1), (2)) AS v(s)),
+    e AS (SELECT 'f' || k AS from_id, 'f' || (k * s + 3 * s + 1) % 25 AS to_id, 'engine' || (r + s) % 4 AS engine,
+                 CASE WHEN k % 5 = 0 THEN ['cloud'] WHEN k % 5 = 1 THEN ['local'] ELSE ['local', 'cloud'] END AS runtime, CASE WHEN (k + s) % 9 > 0 THEN (50 + (k * 7 + s * 13) % 50) / 100.0::DOUBLE END AS fidelity,
+                 CASE WHEN (k + s) % 9 > 0 THEN ((k * 11 + s * 3) % 100) / 100.0::DOUBLE END AS editability, CASE WHEN (k + s) % 9 > 0 THEN ((k * 370 + s * 1010) % 6000)::DOUBLE END AS p50_ms
+          FROM n WHERE k <> (k * s + 3 * s + 1) % 25),
+    c AS (SELECT *, CASE WHEN fidelity IS NULL THEN 1.55 ELSE 0.30 * (1 - fidelity) + 0.60 * (1 - editability) + 0.10 * CASE WHEN p50_ms <= 0 THEN 0 ELSE least(p50_ms / 5000.0, 1.0) END + 0.05 END AS cost FROM e)"""
 _ROUTES = _GRAPH + """,
     r AS (SELECT from_id, to_id, [from_id, to_id] AS path, [engine] AS engines, cost::DOUBLE AS cost FROM c
           UNION ALL SELECT r.from_id, c.to_id, list_append(path, c.to_id), list_append(engines, c.engine), r.cost + c.cost FROM r JOIN c ON r.to_id = c.from_id WHERE NOT list_contains(path, c.to_id) AND len(engines) < 4),
@@ -91,7 +88,18 @@ _ROUTES = _GRAPH + """,
 
 
 def _edges(t):
-    return t.spark.createDataFrame(EDGES, R.EDGE_SCHEMA)
+    k, s = F.col("n_nationkey").cast("long"), F.col("s")
+    goal = (k * s + 3 * s + 1) % 25
+    measured = (k + s) % 9 > 0
+    local, cloud = F.lit("local"), F.lit("cloud")
+    rows = t.nation.withColumn("s", F.explode(F.array(F.lit(1), F.lit(2)))).filter(k != goal)
+    return rows.select(
+        F.concat(F.lit("f"), k.cast("string")).alias("from_id"), F.concat(F.lit("f"), goal.cast("string")).alias("to_id"),
+        F.concat(F.lit("engine"), ((F.col("n_regionkey") + s) % 4).cast("string")).alias("engine"),
+        F.when(k % 5 == 0, F.array(cloud)).when(k % 5 == 1, F.array(local)).otherwise(F.array(local, cloud)).alias("runtime"),
+        F.when(measured, (50 + (k * 7 + s * 13) % 50) / 100.0).alias("fidelity"), F.when(measured, (k * 11 + s * 3) % 100 / 100.0).alias("editability"),
+        F.when(measured, ((k * 370 + s * 1010) % 6000).cast("double")).alias("p50_ms"),
+    )
 
 
 @query(f"WITH {_GRAPH} SELECT from_id, to_id, engine, round(cost, 6)::DOUBLE AS cost FROM c")
@@ -172,12 +180,26 @@ def table_grid(t):
 
 
 @query("""
-    WITH RECURSIVE s(style, based_on, size, bold) AS (VALUES ('base', NULL, 10, false), ('body', 'base', NULL, NULL), ('head', 'body', 16, true), ('title', 'head', 24, NULL), ('loop', 'loop', NULL, NULL)),
-    r AS (SELECT style, style AS at, 0 AS depth FROM s UNION ALL SELECT r.style, s.based_on, depth + 1 FROM r JOIN s ON r.at = s.style WHERE s.based_on IS NOT NULL AND depth < 16)
+    WITH RECURSIVE s AS (SELECT p_partkey AS style, CASE WHEN p_partkey > 0 THEN p_partkey // 3 END AS based_on, CASE WHEN p_partkey % 4 = 0 THEN p_size END AS size, CASE WHEN p_partkey % 5 = 0 THEN p_size > 20 END AS bold FROM part),
+    r AS (SELECT style, style AS at, 0 AS depth FROM s UNION ALL SELECT r.style, s.based_on, depth + 1 FROM r JOIN s ON r.at = s.style WHERE s.based_on IS NOT NULL)
     SELECT r.style, arg_min(s.size, depth) FILTER (s.size IS NOT NULL) AS size, arg_min(s.bold, depth) FILTER (s.bold IS NOT NULL) AS bold FROM r JOIN s ON r.at = s.style GROUP BY 1""")
 def style_cascade(t):
-    rows = [("base", None, 10, False), ("body", "base", None, None), ("head", "body", 16, True), ("title", "head", 24, None), ("loop", "loop", None, None)]
-    return G.cascaded(t.spark.createDataFrame(rows, "style string, based_on string, size int, bold boolean"), ["size", "bold"])
+    key = F.col("p_partkey")
+    styles = t.part.select(
+        key.alias("style"), F.when(key > 0, F.floor(key / 3)).alias("based_on"), F.when(key % 4 == 0, F.col("p_size")).alias("size"),
+        F.when(key % 5 == 0, F.col("p_size") > 20).alias("bold"),
+    )
+    return G.cascaded(styles, ["size", "bold"])
+
+
+@query("""
+    WITH RECURSIVE s AS (SELECT p_partkey AS style, CASE WHEN p_partkey % 50 = 49 THEN p_partkey WHEN p_partkey % 50 > 0 THEN p_partkey - 1 END AS based_on FROM part),
+    r AS (SELECT style, based_on AS at, 0 AS depth FROM s UNION ALL SELECT r.style, s.based_on, depth + 1 FROM r JOIN s ON r.at = s.style WHERE depth < 16)
+    SELECT style FROM r WHERE depth = 16 AND r.at IS NOT NULL""")
+def style_faults(t):
+    key = F.col("p_partkey")
+    parent = F.when(key % 50 == 49, key).when(key % 50 > 0, key - 1)
+    return G.chain_faults(t.part.select(key.alias("style"), parent.alias("based_on")))
 
 
 @query()

@@ -191,15 +191,21 @@ def recipe_predicates(t):
 
 
 @query("""
-    WITH s AS (SELECT doc_id, lang, n_chars, CASE WHEN n_chars < 300 THEN 'too short' END AS e1 FROM documents)
-    SELECT doc_id, CASE WHEN e1 IS NULL AND n_chars > 2000 THEN lang || '!' ELSE lang END AS lang, e1 AS error FROM s""")
+    SELECT doc_id, CASE WHEN n_chars > 2000 AND n_chars % 13 > 0 THEN lang || '!' ELSE lang END AS lang, CASE WHEN n_chars >= 300 AND n_chars % 13 = 0 THEN 'stopped' END AS error,
+           CASE WHEN n_chars < 300 THEN 'step 1: too short' END AS warning
+    FROM documents WHERE n_chars <= 20000 OR n_chars % 13 = 0""")
 def recipe_run(t):
+    """Short texts go on with a warning, every thirteenth of the others stops, long ones are skipped, and the rest is marked."""
+    size = F.col("size_bytes")
     tools = {
-        "check": lambda df: df.withColumn("error", F.when(F.col("size_bytes") < 300, "too short")),
+        "check": lambda df: df.withColumn("error", F.when(size < 300, "too short")).withColumn("lang", F.when(size < 300, "lost").otherwise(F.col("lang"))),
+        "stop": lambda df: df.withColumn("error", F.when((size % 13 == 0) & (size >= 300), "stopped")),
+        "long": lambda df: df.withColumn("error", F.when(size > 20_000, "too long")),
         "mark": lambda df: df.withColumn("lang", F.concat("lang", F.lit("!"))),
     }
-    rows = t.documents.select("doc_id", "lang", F.col("n_chars").alias("size_bytes"))
-    return R.run(rows, [{"tool": "check"}, {"tool": "mark", "if": "size_bytes > 2000"}], tools).drop("size_bytes")
+    steps = [{"tool": "check", "on_error": "continue"}, {"tool": "stop"}, {"tool": "long", "on_error": "skip"}, {"tool": "mark", "if": "size_bytes > 2000"}]
+    out = R.run(t.documents.select("doc_id", "lang", F.col("n_chars").alias("size_bytes")), steps, tools)
+    return out.select("doc_id", "lang", "error", F.get("warnings", 0).alias("warning"))
 
 
 @query("""

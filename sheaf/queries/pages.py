@@ -203,6 +203,13 @@ def rotate_content(t):
     return plan(t).select("doc", "page", F.round(w, 4).alias("width"), F.round(h, 4).alias("height"))
 
 
+@query("""
+    SELECT l_orderkey AS doc, CASE WHEN count(*) < 2 THEN 'even' WHEN count(*) < 4 THEN '2-4' WHEN count(*) < 5 THEN 'last-4' END AS error FROM lineitem GROUP BY 1""")
+def page_range_errors(t):
+    n = F.count("*").cast("int")
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("doc")).agg(n.alias("n")).select("doc", P.selector_error("even, 2-4,last-4, odd", F.col("n")).alias("error"))
+
+
 @query("""
     SELECT p_partkey, CASE WHEN least(w, h) BETWEEN 593.28 AND 597.28 AND greatest(w, h) BETWEEN 839.89 AND 843.89 THEN 'a4'
                            WHEN least(w, h) BETWEEN 610 AND 614 AND greatest(w, h) BETWEEN 790 AND 794 THEN 'letter' END AS paper

@@ -62,8 +62,18 @@ def test_predicates(spark):
 def test_error_policies(spark):
     df = spark.createDataFrame([(1,), (2,)], "x int")
     tools = {"fail": lambda d: d.withColumn("error", F.when(F.col("x") == 1, "bad")), "add": lambda d: d.withColumn("x", F.col("x") + 10)}
-    assert sorted((r.x, r.error) for r in R.run(df, [{"tool": "fail"}, {"tool": "add", "on_error": "skip"}], tools).collect()) == [(1, "bad"), (12, None)]
-    assert sorted((r.x, r.error) for r in R.run(df, [{"tool": "fail"}, {"tool": "add", "on_error": "continue"}], tools).collect()) == [(11, None), (12, None)]
+    tools["mark"] = lambda d: d.withColumn("error", F.when(F.col("x") == 1, "bad")).withColumn("x", F.col("x") * 2)
+    tools["raise"] = lambda d: d.select("nothing")
+
+    def rows(*steps):
+        return sorted((r.x, r.error, list(r.warnings)) for r in R.run(df, list(steps), tools).collect())
+
+    assert rows({"tool": "fail"}, {"tool": "add"}) == [(1, "bad", []), (12, None, [])]
+    assert rows({"tool": "mark", "on_error": "skip"}, {"tool": "add"}) == [(14, None, [])]
+    assert rows({"tool": "mark", "on_error": "continue"}, {"tool": "add"}) == [(11, None, ["step 1: bad"]), (14, None, [])]
+    assert rows({"tool": "raise", "on_error": "skip"}) == [] and len(rows({"tool": "raise", "on_error": "continue"})) == 2
+    with pytest.raises(R.RecipeError, match="step 1"):
+        rows({"tool": "raise"})
 
 
 def test_addresses(spark):

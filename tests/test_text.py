@@ -132,6 +132,26 @@ def test_tags(spark):
     assert one(spark, X.strip_tags(F.col("v")), html) == "ac 1 < 2"
 
 
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_distances_against_the_table():
+    rng = random.Random(9)
+    for _ in range(400):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(25))] for _ in range(2))
+        assert C.distance(a, b) == plain_distance(a, b) == C.distance("".join(a), "".join(b))
+    assert C.character_rate("e\u0301 x", "é  x") == 0 and C.character_rate("", "a") == 1 and C.character_rate("ab" * 2000, "cd" * 2000) is None
+    assert C.character_rate("x" * 100_001, "") is None
+    words = [str(i) for i in range(20_000)]
+    assert C.distance(words, words[::-1]) == 20_000 and len(C.shortest_edits(words, words[::2])) == 10_000
+
+
 def test_shortest_edits_are_shortest():
     rng = random.Random(2)
     for _ in range(300):
