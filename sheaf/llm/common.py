@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: row packing and a fixed-size membership filter."""
+"""What the operators of this subpackage share: row packing, a membership filter of bounded size, and a join that deals out hot keys."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf.scratch import remove, scratch_root, written
 
-__all__ = ["ROW", "SPACE", "key_filter", "maybe_in", "packed", "remove", "scratch_root", "unpacked", "written"]
+__all__ = ["ROW", "SPACE", "KeyFilter", "packed", "remove", "scratch_root", "spread_join", "unpacked", "written"]
 
 #: White space of the contracts, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,30 +24,45 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select(f"{ROW}.*")
 
 
-#: Bits of the membership filter: 256 bitmaps of 32,768 bits, one MB in all whatever the input's size.
-FILTER_BUCKETS = 256
-FILTER_WIDTH = 32768
+#: Bits of one bitmap of the membership filter, bitmaps of the smallest and of the largest one (1 MB and 64 MB), and bits that a
+#: key should have. A filter never grows beyond the largest: more keys than fit let more rows pass, and the join behind it decides.
+FILTER_WIDTH, FEWEST, MOST, BITS_A_KEY = 32768, 256, 16384, 16
 
 
-def _bit(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BUCKETS * FILTER_WIDTH))
+class KeyFilter:
+    """A one-hash membership filter over a column of keys: at most MOST rows of 4 KB, so it may always be broadcast."""
 
+    def __init__(self, keys: DataFrame, key: str, label: str = "key-filter"):
+        self.buckets = FEWEST
+        wanted = keys.count() * BITS_A_KEY // FILTER_WIDTH
+        while self.buckets < min(wanted, MOST):
+            self.buckets *= 2
+        bit = self._bit(F.col(key))
+        bitmaps = (
+            keys.select(bit.alias("bit"))
+            .groupBy(F.expr(f"cast(bit div {FILTER_WIDTH} as int)").alias("__fb"))
+            .agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(FILTER_WIDTH))).alias("__bits"))
+        )
+        self.bitmaps = written(bitmaps, label)
 
-def key_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A one-hash membership filter over a column of keys: at most 256 rows of 4 KB, so it may always be broadcast."""
-    bit = _bit(F.col(key))
-    return (
-        keys.select(bit.alias("bit"))
-        .groupBy(F.expr(f"cast(bit div {FILTER_WIDTH} as int)").alias("__fb"))
-        .agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(FILTER_WIDTH))).alias("__bits"))
-    )
+    def _bit(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets * FILTER_WIDTH))
 
+    def probe(self, df: DataFrame, key: str) -> DataFrame:
+        """df with a boolean __hit: false where the filter proves that the key isn't among its keys."""
+        out = df.withColumn("__at", self._bit(F.col(key))).withColumn("__fb", F.expr(f"cast(__at div {FILTER_WIDTH} as int)"))
+        out = out.join(F.broadcast(self.bitmaps), "__fb", "left")
+        byte = F.conv(F.hex(F.expr(f"substring(__bits, cast((__at % {FILTER_WIDTH}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        hit = F.coalesce(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(__at % 8 as int)) as int)")) != 0, F.lit(False))
+        return out.withColumn("__hit", hit).drop("__at", "__fb", "__bits")
 
-def maybe_in(df: DataFrame, key: str, flt: DataFrame) -> DataFrame:
-    """df with a boolean __hit: false where the filter proves that the key isn't among its keys."""
-    at = _bit(F.col(key))
-    out = df.withColumn("__at", at).withColumn("__fb", F.expr(f"cast(__at div {FILTER_WIDTH} as int)"))
-    out = out.join(F.broadcast(flt), "__fb", "left")
-    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast((__at % {FILTER_WIDTH}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(__at % 8 as int)) as int)")) != 0, F.lit(False))
-    return out.withColumn("__hit", hit).drop("__at", "__fb", "__bits")
+
+#: Shares into which a key's rows are dealt by `spread_join`.
+SHARES = 8
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """A join in which the rows of `many` with one key are dealt to SHARES tasks, and `few`, with one row a key, goes to all of them."""
+    dealt = many.withColumn("__share", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in many.columns]), F.lit(SHARES)).cast("int"))
+    copies = few.withColumn("__share", F.explode(F.array(*[F.lit(i) for i in range(SHARES)])))
+    return dealt.join(copies, [key, "__share"], how).drop("__share")

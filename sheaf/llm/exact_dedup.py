@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import ROW, SPACE, key_filter, maybe_in, packed, unpacked, written
+from sheaf.llm.common import ROW, SPACE, KeyFilter, packed, unpacked, written
 
 #: Flushed runs carry a Bloom filter on the digest.
 RUN_OPTIONS = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "1000000"}
@@ -40,7 +40,7 @@ class MergeIndex:
         self.runs = self._flush()
         self.level = self._compact()
         self.hits = self.level.filter("n > 1")
-        self.filter = written(key_filter(self.hits, "digest"), "dedup-filter")
+        self.filter = KeyFilter(self.hits, "digest", "dedup-filter")
         self._verify()
 
     def _keyed(self) -> DataFrame:
@@ -66,7 +66,7 @@ class MergeIndex:
         return written(merged.sortWithinPartitions("digest"), "dedup-level", RUN_OPTIONS)
 
     def _hit_rows(self) -> DataFrame:
-        return maybe_in(self._keyed(), "digest", self.filter).filter("__hit").drop("__hit")
+        return self.filter.probe(self._keyed(), "digest").filter("__hit").drop("__hit")
 
     def _verify(self) -> None:
         """Compare the bytes of every group of equal digests; self.odd holds the digests whose texts differ."""
@@ -103,7 +103,7 @@ class MergeIndex:
 
     def survivors(self) -> DataFrame:
         """The input rows, with all their columns, that stay. Texts of rows without a hit are never shuffled."""
-        probed = maybe_in(self._keyed(), "digest", self.filter)
+        probed = self.filter.probe(self._keyed(), "digest")
         alone = unpacked(probed.filter("not __hit"))
         among = probed.filter("__hit").join(self.hits, "digest", "left")
         if not self.clean:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheaf.llm.common import ROW, key_filter, maybe_in, packed, unpacked, written
+from sheaf.llm.common import ROW, KeyFilter, packed, spread_join, unpacked, written
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
@@ -209,11 +209,11 @@ def connected(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         last = state
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
-        large = ways.filter("v > u").join(least, F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = spread_join(ways.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = written(large.distinct(), "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least.withColumnRenamed("u", "at"), F.col("u") == F.col("at")).filter("v <> m")
+        small = spread_join(large, least, "u").filter("v <> m")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(least.withColumnRenamed("m", "v")).distinct(), "links")
 
@@ -241,13 +241,13 @@ class NearDuplicates:
         wanted = self.classes.join(self.members.select("cls").distinct(), "cls", "left_semi").select("cls", "rep")
         wanted = written(wanted, "near-wanted")
         rows = self.rows.select(self.ids.alias("rep"), self.texts.alias("text"))
-        rows = maybe_in(rows, "rep", key_filter(wanted, "rep")).filter("__hit").select("text")
+        rows = KeyFilter(wanted, "rep").probe(rows, "rep").filter("__hit").select("text")
         found = rows.mapInArrow(_sets(self.words), "cls binary, hashes binary")
         self.sets = written(found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "near-sets")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
-        sets = maybe_in(self.sets, "cls", key_filter(ends, "cls")).filter("__hit").select("cls", "hashes")
+        sets = KeyFilter(ends, "cls").probe(self.sets, "cls").filter("__hit").select("cls", "hashes")
         both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hashes_b")), "b")
         both = both.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("hashes_a")), "a")
         return both.mapInArrow(_confirm(self.percent), "a binary, b binary")
@@ -258,7 +258,7 @@ class NearDuplicates:
         self.members = written(buckets.join(shared, "key"), "near-members")
         self._gather_sets()
         stars = self.members.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("hub"))
-        pairs = self.members.join(stars, "key").filter(F.col("cls") != F.col("hub.cls"))
+        pairs = spread_join(self.members, stars, "key").filter(F.col("cls") != F.col("hub.cls"))
         pairs = pairs.filter(self._size_fits("n", "hub.n")).select(F.col("hub.cls").alias("a"), F.col("cls").alias("b"))
         tested = written(pairs.distinct(), "near-pairs")
         self.roots = connected(self._confirmed(tested))
@@ -280,7 +280,7 @@ class NearDuplicates:
         rows = rows.select("key", "band", "cls", "n", F.coalesce("root", "cls").alias("comp"))
         sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key")
         sizes = sizes.agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("size")).filter("top.c < size")
-        rows = rows.join(sizes, "key").withColumn("outside", F.col("comp") != F.col("top.comp"))
+        rows = spread_join(rows, sizes, "key").withColumn("outside", F.col("comp") != F.col("top.comp"))
         rows = rows.withColumn("outsiders", F.col("size") - F.col("top.c")).drop("top")
         return written(rows, "near-open")
 
@@ -320,7 +320,7 @@ class NearDuplicates:
     def groups(self) -> DataFrame:
         """(cls, component_id) of every class: the least identifier of its component."""
         named = self.components().join(self.classes.select("cls", "rep"), "cls")
-        return named.select("cls", "comp").join(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").drop("comp")
+        return spread_join(named.select("cls", "comp"), named.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").drop("comp")
 
     def members_of(self) -> DataFrame:
         """Per input row: id, n_shingles, component_id, kept."""
@@ -336,10 +336,10 @@ class NearDuplicates:
         place = F.struct(F.col("id").isNull().alias("none"), "id", "th")
         rows = self.sketches.filter("cls is not null").groupBy("cls", "id", "th").agg(F.count("*").alias("rows")).join(self.components(), "cls")
         best = rows.groupBy("comp").agg(F.min(place).alias("best"))
-        marked = rows.join(best, "comp").select("id", "th", (place != F.col("best")).alias("gone"), "rows").filter("gone or rows > 1")
+        marked = spread_join(rows, best, "comp").select("id", "th", (place != F.col("best")).alias("gone"), "rows").filter("gone or rows > 1")
         marked = written(marked.select("id", "th", "gone", F.xxhash64("id", "th").alias("row")), "near-marked")
         docs = self.rows.withColumn("id", self.ids).withColumn("th", F.xxhash64(self.texts)).withColumn("row", F.xxhash64("id", "th"))
-        docs = maybe_in(docs, "row", written(key_filter(marked, "row"), "near-filter"))
+        docs = KeyFilter(marked, "row", "near-filter").probe(docs, "row")
         other = marked.select("row", F.col("id").alias("own"), F.col("th").alias("own_th"), "gone")
         same = (F.col("id").eqNullSafe(F.col("own"))) & (F.col("th") == F.col("own_th"))
         hit = docs.filter("__hit").join(other.withColumnRenamed("row", "own_row"), (F.col("row") == F.col("own_row")) & same, "left")
