@@ -1,8 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Documents are summed up to cells of (source, language, topic) with their numbers of tokens, by partial aggregation, so that
-a source with a third of all rows is a few rows before the shuffle. Targets are the tempered marginals of the three
-dimensions. Raking scales the cells' weights to one marginal after the other, SWEEPS times over. The fitted weights are
+a source with a third of all rows is a few rows before the shuffle. Target weights are given per dimension; a dimension without
+any keeps its tempered marginals. Raking scales the cells' weights to one marginal after the other, in rounds of SWEEPS sweeps until
+every marginal is within TOLERANCE of its target. Targets that can't be met together, as their cells are empty, end with the
+round that no longer halves the error, or with the last of ROUNDS, and a warning that names the error left. The fitted weights are
 calibrated to a budget of tokens: a cell's documents are kept with the probability budgeted / present tokens, at most 1, and
 what full cells leave over goes to the others. A document's draw is a hash of its identifier, so it is the same in
 every run and does not depend on how rows are dealt out.
@@ -17,6 +19,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +33,8 @@ TEMPER = 0.7
 #: Share of all tokens that the sample has in expectation.
 BUDGET = 0.8
 SWEEPS, SPILLS = 20, 6
+#: Largest relative error of a marginal, and rounds of sweeps at most.
+TOLERANCE, ROUNDS = 1e-6, 5
 SINGLE_CELLS = 100_000
 DIMENSIONS = ("source", "lang", "topic")
 #: Characters of markup and noise, by which topics are told apart.
@@ -78,29 +83,68 @@ def _by(*names: str):
     return Window.partitionBy(*names) if names else Window.partitionBy()
 
 
-def _fit_single(cells: DataFrame, temper: float, budget: float, sweeps: int) -> DataFrame:
-    """All scalings as window sums over one partition."""
+def _wanted(name: str, own: Column, temper: float, targets: dict[str, dict] | None) -> Column:
+    """The target of a category before normalisation: what is given for it, 0 for others of that dimension, or its tempered tokens."""
+    if not targets or name not in targets:
+        return F.when(own > 0, F.pow(own, F.lit(temper))).otherwise(0.0)
+    given = F.lit(0.0)
+    for value, weight in targets[name].items():
+        given = F.when(F.col(name).eqNullSafe(F.lit(value)), F.lit(float(weight))).otherwise(given)
+    return F.when(own > 0, given).otherwise(0.0)
+
+
+def _start_single(cells: DataFrame, temper: float, targets: dict[str, dict] | None) -> DataFrame:
     fit = cells.coalesce(1).withColumn("w", F.col("tokens").cast("double"))
     for name in DIMENSIONS:
         own = F.sum("tokens").over(_by(name)).cast("double")
-        fit = fit.withColumn("own", F.when(own > 0, F.pow(own, F.lit(temper))).otherwise(0.0))
+        fit = fit.withColumn("own", own).withColumn("own", _wanted(name, F.col("own"), temper, targets))
         # every category counts once in the sum of the targets
         fit = fit.withColumn("cells_of", F.count("*").over(_by(name)))
         fit = fit.withColumn(f"target_{name}", F.col("own") / F.sum(F.col("own") / F.col("cells_of")).over(_by())).drop("own", "cells_of")
+    return fit
+
+
+def _sweep_single(fit: DataFrame, sweeps: int) -> DataFrame:
+    """All scalings as window sums over one partition, and the largest relative error that is left."""
     for _ in range(sweeps):
         for name in DIMENSIONS:
             total = F.sum("w").over(_by(name))
             fit = fit.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"target_{name}") / total).otherwise(0.0))
+    errors = [F.abs(F.sum("w").over(_by(name)) / F.col(f"target_{name}") - 1) for name in DIMENSIONS]
+    return fit.withColumn("off", F.greatest(*[F.when(F.col(f"target_{name}") > 0, e) for name, e in zip(DIMENSIONS, errors, strict=True)]))
+
+
+def _calibrated_single(fit: DataFrame, budget: float) -> DataFrame:
     fit = fit.withColumn("p", F.lit(0.0)).withColumn("all", F.sum("tokens").over(_by()).cast("double"))
     for _ in range(SPILLS):
         full = F.col("p") >= 1
         rest = budget * F.col("all") - F.coalesce(F.sum(F.when(full, F.col("tokens"))).over(_by()), F.lit(0))
         share = F.sum(F.when(~full, F.col("w"))).over(_by())
-        next_p = F.when(full, 1.0).when(F.col("tokens") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.col("w") * rest / share / F.col("tokens")))
+        next_p = F.when(full, 1.0).when(F.col("tokens") == 0, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("w") * rest / share / F.col("tokens"), F.lit(0.0))))
         fit = fit.withColumn("next_p", next_p).withColumn("p", F.col("next_p")).drop("next_p")
     return fit.select(*DIMENSIONS, "tokens", "w", "p")
 
 
+def _unmet(errors: list[float | None]) -> bool:
+    """Whether another round is due, by the errors after each round; warns where the last one leaves an error."""
+    off = errors[-1] or 0.0
+    if off <= TOLERANCE:
+        return False
+    if len(errors) == ROUNDS or len(errors) > 1 and off > errors[-2] / 2:
+        warnings.warn(f"mixing: the targets can't be met together; a marginal is off by {off:.2g} of its target", stacklevel=4)
+        return False
+    return True
+
+
+def _fit_single(cells: DataFrame, temper: float, budget: float, sweeps: int, targets: dict[str, dict] | None = None) -> DataFrame:
+    fit = _start_single(cells, temper, targets)
+    errors = []
+    while not errors or _unmet(errors):
+        fit = written(_sweep_single(fit, sweeps), "mix-fit").coalesce(1)
+        errors.append(fit.agg(F.max("off")).first()[0])
+    return _calibrated_single(fit, budget)
+
+
 def _same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
     """Join on columns of equal names, nulls equal to nulls; the right side's are dropped."""
     other = right.select(*[F.col(c).alias(f"__{c}" if c in names else c) for c in right.columns])
@@ -108,27 +152,34 @@ def _same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner
     return left.join(other, on, how).drop(*[f"__{c}" for c in names])
 
 
-def _fit_spread(cells: DataFrame, temper: float, budget: float, sweeps: int) -> DataFrame:
+def _fit_spread(cells: DataFrame, temper: float, budget: float, sweeps: int, targets: dict[str, dict] | None = None) -> DataFrame:
     """The same scalings, each an aggregation and a join over a written table."""
     fit = cells.withColumn("w", F.col("tokens").cast("double"))
-    targets = {}
+    goals = {}
     for name in DIMENSIONS:
-        own = cells.groupBy(name).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("own"))
+        own = cells.groupBy(name).agg(F.sum("tokens").cast("double").alias("own")).withColumn("own", _wanted(name, F.col("own"), temper, targets))
         total = own.agg(F.sum("own")).first()[0] or 1.0
-        targets[name] = written(own.select(name, (F.col("own") / total).alias("target")), "mix-targets")
-    for _ in range(sweeps):
+        goals[name] = written(own.select(name, (F.col("own") / total).alias("target")), "mix-targets")
+    errors = []
+    while not errors or _unmet(errors):
+        for _ in range(sweeps):
+            for name in DIMENSIONS:
+                totals = _same(fit.groupBy(name).agg(F.sum("w").alias("total")), goals[name], [name])
+                fit = _same(fit, totals, [name])
+                fit = fit.withColumn("w", F.when(F.col("total") > 0, F.col("w") * F.col("target") / F.col("total")).otherwise(0.0))
+                fit = written(fit.drop("total", "target"), "mix-fit")
+        off = 0.0
         for name in DIMENSIONS:
-            totals = _same(fit.groupBy(name).agg(F.sum("w").alias("total")), targets[name], [name])
-            fit = _same(fit, totals, [name])
-            fit = fit.withColumn("w", F.when(F.col("total") > 0, F.col("w") * F.col("target") / F.col("total")).otherwise(0.0))
-            fit = written(fit.drop("total", "target"), "mix-fit")
+            left = _same(fit.groupBy(name).agg(F.sum("w").alias("total")), goals[name], [name]).filter("target > 0")
+            off = max(off, left.agg(F.max(F.abs(F.col("total") / F.col("target") - 1))).first()[0] or 0.0)
+        errors.append(off)
     everything = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     fit = fit.withColumn("p", F.lit(0.0))
     for _ in range(SPILLS):
         full = F.col("p") >= 1
         taken, share = fit.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("w")))).first()
         rest = budget * everything - (taken or 0)
-        p = F.when(full | (F.col("tokens") == 0), 1.0).otherwise(F.least(F.lit(1.0), F.col("w") * rest / (share or 1.0) / F.col("tokens")))
+        p = F.when(full | (F.col("tokens") == 0), 1.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.col("w") * rest / (share or 1.0) / F.col("tokens"), F.lit(0.0))))
         fit = written(fit.withColumn("p", p), "mix-fit")
     return fit.select(*DIMENSIONS, "tokens", "w", "p")
 
@@ -142,11 +193,18 @@ def described(docs: DataFrame) -> DataFrame:
     )
 
 
-def drawn(rows: DataFrame, temper: float = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS, single_cells: int = SINGLE_CELLS) -> DataFrame:
-    """Described rows with their probability and whether they are kept."""
+def drawn(
+    rows: DataFrame, temper: float = TEMPER, budget: float = BUDGET, sweeps: int = SWEEPS, single_cells: int = SINGLE_CELLS,
+    targets: dict[str, dict] | None = None,
+) -> DataFrame:
+    """Described rows with their probability and whether they are kept. targets: for any of source, lang and topic the weights of
+    its values; values that are not named get none. A cell without any weight is left out, unless it has no tokens."""
+    if set(targets or ()) - set(DIMENSIONS):
+        raise ValueError(f"targets are given for {', '.join(DIMENSIONS)}")
     cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "mix-cells")
     small = cells.count() <= single_cells
-    fit = written((_fit_single if small else _fit_spread)(cells, temper, budget, sweeps).select(*DIMENSIONS, "p"), "mix-fit")
+    fit = (_fit_single if small else _fit_spread)(cells, temper, budget, sweeps, targets)
+    fit = written(fit.select(*DIMENSIONS, "p"), "mix-fit")
     out = _same(rows, F.broadcast(fit) if small else fit, list(DIMENSIONS))
     out = out.withColumn("probability", F.round("p", 9)).drop("p")
     return out.withColumn("kept", draw(F.col(f"{ROW}.doc_id")) < F.col("probability"))

@@ -17,12 +17,19 @@ def brute(rows, temper=M.TEMPER, budget=M.BUDGET, sweeps=M.SWEEPS):
             own[cell[d]] += n
         own = {k: v**temper if v > 0 else 0.0 for k, v in own.items()}
         targets.append({k: v / sum(own.values()) if sum(own.values()) else 0.0 for k, v in own.items()})
-    for _ in range(sweeps):
-        for d in range(3):
-            total = defaultdict(float)
-            for cell, w in weights.items():
-                total[cell[d]] += w
-            weights = {c: w * targets[d][c[d]] / total[c[d]] if total[c[d]] > 0 else 0.0 for c, w in weights.items()}
+    def marginal(d):
+        total = defaultdict(float)
+        for cell, w in weights.items():
+            total[cell[d]] += w
+        return total
+
+    errors = []
+    while len(errors) < M.ROUNDS and (len(errors) < 2 or errors[-1] <= errors[-2] / 2) and not (errors and errors[-1] <= M.TOLERANCE):
+        for _ in range(sweeps):
+            for d in range(3):
+                total = marginal(d)
+                weights = {c: w * targets[d][c[d]] / total[c[d]] if total[c[d]] > 0 else 0.0 for c, w in weights.items()}
+        errors.append(max((abs(marginal(d)[k] / t - 1) for d in range(3) for k, t in targets[d].items() if t > 0), default=0.0))
     p, whole = dict.fromkeys(cells, 0.0), sum(cells.values())
     for _ in range(M.SPILLS):
         rest = budget * whole - sum(n for c, n in cells.items() if p[c] >= 1)
@@ -34,7 +41,7 @@ def brute(rows, temper=M.TEMPER, budget=M.BUDGET, sweeps=M.SWEEPS):
 @pytest.mark.parametrize("single", [100_000, 0])
 def test_probabilities(small, single):
     """The fit in one task and the one over written tables."""
-    sweeps = M.SWEEPS if single else 2
+    sweeps = M.SWEEPS if single else 6
     out = M.drawn(M.described(small), single_cells=single, sweeps=sweeps).collect()
     want = brute([(r.source, r.lang, r.topic, r.n_tokens) for r in out], sweeps=sweeps)
     assert len(out) == small.count()
@@ -73,7 +80,7 @@ def test_odd_rows(odd, odd_extended, none):
         assert sample.columns == frame.columns and sample.count() == sum(r.kept for r in out)
         assert M.probabilities(frame).count() == frame.count()
     assert M.sample_documents(none).count() == 0
-    assert M.drawn(M.described(none), single_cells=-1).count() == 0
+    assert M.drawn(M.described(none), single_cells=-1, sweeps=1).count() == 0
 
 
 def test_words_and_topics(spark):
@@ -94,3 +101,25 @@ def test_words_and_topics(spark):
 
     want = [(i, len((t or "").encode().split()), topic(t or "")) for i, t in enumerate(texts)]
     assert sorted(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("single_cells", [100_000, 0])
+def test_given_targets_are_met(spark, single_cells):
+    """Expected tokens of the sample have the shares that are asked for, and the other dimensions keep theirs."""
+    rows = [(i, "word " * (5 + i % 30), "en" if i % 3 else "de", "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    parameters = {"targets": {"source": {"a": 3, "b": 1}, "lang": {"en": 1, "de": 1}}, "budget": 0.2, "single_cells": single_cells, "sweeps": 4}
+    out = M.probabilities(docs, **parameters).toPandas()
+    out["expected"] = out["n_tokens"] * out["probability"]
+    total = out["expected"].sum()
+    assert total == pytest.approx(0.2 * out["n_tokens"].sum(), rel=1e-4)
+    assert out.groupby("source")["expected"].sum()["a"] / total == pytest.approx(0.75, rel=1e-4)
+    assert out.groupby("lang")["expected"].sum()["de"] / total == pytest.approx(0.5, rel=1e-4)
+
+
+def test_targets_that_cannot_be_met_are_named(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "a"), (2, "c d", "de", "b")], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="can't be met"):
+        M.probabilities(docs, targets={"source": {"a": 3, "b": 1}, "lang": {"en": 1, "de": 3}})
+    with pytest.raises(ValueError, match="source"):
+        M.probabilities(docs, targets={"colour": {"red": 1}})
