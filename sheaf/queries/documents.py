@@ -202,6 +202,39 @@ def style_faults(t):
     return G.chain_faults(t.part.select(key.alias("style"), parent.alias("based_on")))
 
 
+_RICH = [
+    '<p>Sum <math><semantics><mi>x</mi><annotation encoding="application/x-tex">x^2</annotation></semantics></math> of ', None, '<a role="doc-noteref" href="#n1">1</a></p>',
+    '<ul><li><input type="checkbox" checked> done</li><li><input type="checkbox"> open</li></ul><img src="data:image/png;base64,', "b64", '" alt="dot"><img src="http://a/b.png">',
+    '<section role="doc-endnotes"><ol><li id="n1">Note on ', None, ' <a role="doc-backlink" href="#r">back</a></li></ol></section><p>End</p>',
+]
+
+
+@query("""
+    SELECT c_custkey AS page_id, 'Sum x^2 of ' || c_name AS first, 'Note on ' || c_name AS note, 'n1' AS ref, true AS done, false AS open, length(c_name)::INT AS bytes, sha256(c_name) AS digest, 1 AS linked, 5 AS blocks
+    FROM customer""")
+def html_features(t):
+    """Formulas, footnotes, tasks and embedded images."""
+    parts = [F.col("c_name") if x is None else F.base64(F.col("c_name").cast("binary")) if x == "b64" else F.lit(x) for x in _RICH]
+    found = read_html(t.customer.select("c_custkey", F.concat(*parts).alias("html")), "c_custkey")
+
+    def text(i: int):
+        return F.get("blocks", i)["text"]
+
+    data = F.filter("assets", lambda a: a.digest.isNotNull())
+    return found.select(
+        "page_id", text(0).alias("first"), F.get(F.filter("blocks", lambda b: b.note == "n1"), 0)["text"].alias("note"), F.get("note_refs", 0).alias("ref"), F.get("blocks", 1)["checked"].alias("done"),
+        F.get("blocks", 2)["checked"].alias("open"), F.get(data, 0)["bytes"].alias("bytes"), F.get(data, 0)["digest"].alias("digest"), (F.size("assets") - F.size(data)).alias("linked"), F.size("blocks").alias("blocks"),
+    )
+
+
+@query("""
+    SELECT p_partkey AS page_id, CASE WHEN p_partkey % 3 = 0 THEN 'elements are nested too deeply' END AS error, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS blocks FROM part""")
+def html_limits(t):
+    deep = F.when(F.col("p_partkey") % 3 == 0, F.repeat(F.lit("<div>"), F.lit(1100))).otherwise("<p>")
+    found = read_html(t.part.select("p_partkey", F.concat(deep, F.lit("x")).alias("html")), "p_partkey")
+    return found.select("page_id", "error", F.size("blocks").alias("blocks"))
+
+
 @query()
 def heading_distances(t):
     import pandas as pd

@@ -7,9 +7,12 @@ collapsed across inline tags. One pass over a page yields all its rows as arrays
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from urllib.parse import unquote_to_bytes
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,12 +29,21 @@ BLOCKS = frozenset(
 DROPPED = frozenset("script style template noscript iframe object embed svg button select textarea input canvas audio video".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "option": {"select"}}
-MOST_DEPTH = 1024
+#: Nesting of elements, and elements of a page, at most.
+MOST_DEPTH, MOST_NODES = 1024, 1_000_000
+# Roles by which footnotes are told.
+NOTE_REF, NOTES, BACKLINK = "doc-noteref", ("doc-footnote", "doc-endnote"), "doc-backlink"
+_DATA = re.compile(r"(?is)^data:([a-z0-9.+-]+/[a-z0-9.+-]+)?((?:;[^,;]*)*),(.*)$")
+
+
+class PageError(ValueError):
+    pass
 
 SCHEMA = (
-    "page_id long, title string, lang string, blocks array<struct<ord:int,kind:string,level:int,path:string,text:string,ordered:boolean>>,"
+    "page_id long, title string, lang string, blocks array<struct<ord:int,kind:string,level:int,path:string,text:string,ordered:boolean,checked:boolean,note:string>>,"
     " links array<struct<ord:int,href:string,text:string,allowed:boolean>>, cells array<struct<tab:int,r:int,c:int,header:boolean,rowspan:int,colspan:int,text:string>>,"
-    " images int, warnings array<string>, keywords array<string>, authors array<string>, description string"
+    " images int, warnings array<string>, keywords array<string>, authors array<string>, description string,"
+    " math array<string>, note_refs array<string>, assets array<struct<ord:int,media:string,bytes:int,digest:string,alt:string,url:string>>, error string"
 )
 _ALLOWED = re.compile(r"(?i)^(#|(https?|mailto):)")
 
@@ -53,6 +65,14 @@ class Page(HTMLParser):
         self.text: list[str] = []
         self.skipping, self.in_title, self.pre = 0, False, 0
         self.grid: list[dict] = []
+        self.math: list[str] = []
+        self.formula: list[str] | None = None  # what stands in <math>, from its TeX annotation on if it has one
+        self.annotated = False
+        self.note_refs: list[str] = []
+        self.notes: list[tuple[int, str]] = []  # open footnotes: place in the stack, identifier
+        self.assets: list[dict] = []
+        self.checked: bool | None = None
+        self.quiet, self.nodes, self.endnotes = 0, 0, 0
         self.feed(html.removeprefix("﻿"))
         self.close()
         self._flush()
@@ -62,6 +82,8 @@ class Page(HTMLParser):
             self.warnings.append(kind)
 
     def _kind(self) -> tuple[str, int | None]:
+        if self.notes:
+            return "footnote", None
         for tag in reversed(self.stack):
             if re.fullmatch("h[1-6]", tag):
                 return "heading", int(tag[1])
@@ -85,7 +107,8 @@ class Page(HTMLParser):
             return
         path = "/".join(t for t in self.stack if t in BLOCKS)
         ordered = next((t == "ol" for t in reversed(self.stack) if t in ("ol", "ul")), None) if kind == "list_item" else None
-        self.blocks.append({"ord": len(self.blocks), "kind": kind, "level": level, "path": path, "text": text, "ordered": ordered})
+        self.blocks.append({"ord": len(self.blocks), "kind": kind, "level": level, "path": path, "text": text, "ordered": ordered, "checked": self.checked, "note": self.notes[-1][1] if self.notes else None})
+        self.checked = None
 
     def _close_to(self, at: int) -> None:
         """End all open elements from place `at`; formatting elements that were open inside stay open behind."""
@@ -94,6 +117,10 @@ class Page(HTMLParser):
         for tag in self.stack[at:]:
             self._left(tag)
         self.stack[at:] = kept
+        while self.notes and self.notes[-1][0] >= at:
+            self.notes.pop()
+        if self.endnotes > at:
+            self.endnotes = 0
 
     def _left(self, tag: str) -> None:
         if tag == "pre":
@@ -113,6 +140,19 @@ class Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         given = {k: v or "" for k, v in attrs}
+        self.nodes += 1
+        if self.nodes > MOST_NODES:
+            raise PageError("too many elements")
+        if self.formula is not None:
+            if tag == "annotation" and "tex" in given.get("encoding", "").lower():
+                self.formula, self.annotated = [], True
+            return
+        if tag == "math" and not self.skipping:
+            self.formula, self.annotated = [], False
+            return
+        if tag == "input" and given.get("type", "").lower() == "checkbox" and "li" in self.stack and not self.skipping:
+            self.checked = "checked" in given
+            return
         if self.skipping:
             self.skipping += tag not in VOID
             return
@@ -138,6 +178,7 @@ class Page(HTMLParser):
             return
         elif tag == "img":
             self.images += 1
+            self._asset(given)
             return
         if tag in VOID:
             return
@@ -154,15 +195,37 @@ class Page(HTMLParser):
         elif tag == "a":
             if "a" in self.stack:
                 self._leave_link()
-            href = given.get("href")
-            if href is not None:
+            href, role = given.get("href"), given.get("role", "")
+            if role == NOTE_REF and (href or "").startswith("#"):
+                self.note_refs.append(href[1:])
+            if role in (NOTE_REF, BACKLINK):
+                self.quiet = len(self.stack) + 1
+            elif href is not None:
                 self.links.append({"ord": len(self.links), "href": href, "text": None, "allowed": bool(_ALLOWED.match(href)) and href == href.strip(), "at": len(self.text)})
                 if not self.links[-1]["allowed"]:
                     self._warn("link_dropped")
         if len(self.stack) >= MOST_DEPTH:
-            raise ValueError("elements are nested too deeply")
+            raise PageError("elements are nested too deeply")
+        if given.get("role") == "doc-endnotes":
+            self.endnotes = len(self.stack) + 1
+        if given.get("id") and (given.get("role") in NOTES or self.endnotes and tag == "li"):
+            self._flush()
+            self.notes.append((len(self.stack), given["id"]))
         self.stack.append(tag)
 
+    def _asset(self, given: dict) -> None:
+        """An embedded image with its bytes' digest, or one that stays a link."""
+        source = given.get("src", "").strip()
+        row = {"ord": len(self.assets), "media": None, "bytes": None, "digest": None, "alt": given.get("alt", ""), "url": source or None}
+        if m := _DATA.match(source):
+            try:
+                raw = base64.b64decode(unquote_to_bytes(m[3]), validate=True) if m[2].lower().endswith(";base64") else unquote_to_bytes(m[3])
+            except ValueError:
+                self._warn("invalid_asset")
+            else:
+                row |= {"media": (m[1] or "text/plain").lower(), "bytes": len(raw), "digest": hashlib.sha256(raw).hexdigest(), "url": None}
+        self.assets.append(row)
+
     def _meta(self, given: dict) -> None:
         name, content = given.get("name", "").lower(), given.get("content", "").strip()
         if not content:
@@ -199,6 +262,17 @@ class Page(HTMLParser):
             link["text"] = " ".join("".join(self.text[min(link["at"], len(self.text)) :]).split())
 
     def handle_endtag(self, tag: str) -> None:
+        if self.formula is not None:
+            if tag == "annotation" and self.annotated:
+                self.annotated = None  # the rest of the formula is not TeX
+            elif tag == "math":
+                tex = " ".join("".join(self.formula).split())
+                self.formula = None
+                self.math.append(tex)
+                self.text.append(tex)
+            return
+        if self.quiet and tag == "a":
+            self.quiet = 0
         if self.skipping:
             self.skipping -= tag not in VOID
             return
@@ -215,8 +289,13 @@ class Page(HTMLParser):
             self._close_to(len(self.stack) - 1 - self.stack[::-1].index(tag))
 
     def handle_data(self, data: str) -> None:
-        if self.in_title:
+        if self.formula is not None:
+            if self.annotated is not None:
+                self.formula.append(data)
+        elif self.in_title:
             self.title += data
+        elif self.quiet:
+            return
         elif not self.skipping:
             self.text.append(data if self.pre else re.sub(r"[ \t\r\n\f]+", " ", data))
 
@@ -224,16 +303,24 @@ class Page(HTMLParser):
         links = [{k: (v if k != "text" else v or "") for k, v in x.items() if k != "at"} for x in self.links]
         return {
             "title": None if self.title is None else " ".join(self.title.split()) or None, "lang": self.lang, "blocks": self.blocks, "links": links,
-            "cells": self.cells, "images": self.images, "warnings": self.warnings, "keywords": self.keywords, "authors": self.authors, "description": self.description,
+            "cells": self.cells, "images": self.images, "warnings": self.warnings, "keywords": self.keywords, "authors": self.authors, "description": self.description, "math": self.math, "note_refs": self.note_refs, "assets": self.assets,
         }
 
 
+def _read(html: str) -> dict:
+    try:
+        return {**Page(html).row(), "error": None}
+    except PageError as fault:
+        return {**Page("").row(), "error": str(fault)}
+
+
 def read_html(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per page with its blocks, links, cells and metadata."""
+    """One row per page with its blocks, links, cells, formulas, footnotes, images and metadata. A page beyond the limits has an
+    error and nothing else."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [{"page_id": k, **Page(x or "").row()} for k, x in zip(frame["page_id"], frame["html"], strict=True)]
+            rows = [{"page_id": k, **_read(x or "")} for k, x in zip(frame["page_id"], frame["html"], strict=True)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in re.split(r", (?=\w+ )", SCHEMA)])
 
     return pages.select(F.col(key).cast("long").alias("page_id"), F.col(html).alias("html")).mapInPandas(run, SCHEMA)
