@@ -179,6 +179,35 @@ def table_grid(t):
     return G.grids(cells, "tab")
 
 
+def _package(key: int) -> bytes:
+    """A small container whose kind depends on a number."""
+    import io
+    import zipfile
+
+    kind = key % 6
+    if kind >= 4:  # a compound file of a header, one table and one directory sector
+        entry = ("WordDocument" if kind == 4 else "__properties_version1.0").encode("utf-16-le")
+        head = formats.OLE + bytes(22) + (9).to_bytes(2, "little") + bytes(16) + (1).to_bytes(4, "little") + bytes(24) + bytes(4) + b"\xff" * (4 * 108)
+        table = b"\xfd\xff\xff\xff\xfe\xff\xff\xff" + b"\xff" * 504
+        return head + table + (entry.ljust(64, b"\0") + (len(entry) + 2).to_bytes(2, "little")).ljust(512, b"\0")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        if kind == 0:
+            z.writestr("mimetype", "application/epub+zip")
+        elif kind < 3:
+            z.writestr("[Content_Types].xml", "<x/>")
+            z.writestr("word/document.xml" if kind == 1 else "xl/workbook.xml", "<x/>")
+        else:
+            z.writestr("a.txt", "x")
+    return out.getvalue()
+
+
+@query("""SELECT p_partkey, ['epub', 'docx', 'xlsx', 'zip', 'doc', 'msg'][p_partkey % 6 + 1] AS format FROM part""")
+def classify_containers(t):
+    made = F.pandas_udf(lambda keys: keys.map(_package), "binary")
+    return t.part.select("p_partkey", formats.classify(made("p_partkey"), F.lit("a.bin")).alias("format"))
+
+
 @query("""
     WITH RECURSIVE s AS (SELECT p_partkey AS style, CASE WHEN p_partkey > 0 THEN p_partkey // 3 END AS based_on, CASE WHEN p_partkey % 4 = 0 THEN p_size END AS size, CASE WHEN p_partkey % 5 = 0 THEN p_size > 20 END AS bold FROM part),
     r AS (SELECT style, style AS at, 0 AS depth FROM s UNION ALL SELECT r.style, s.based_on, depth + 1 FROM r JOIN s ON r.at = s.style WHERE s.based_on IS NOT NULL)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
 
 import pandas as pd
@@ -65,16 +66,54 @@ def container(content: bytes | None) -> str | None:
     return None
 
 
+# Streams of office files in the old container, mail first.
+_STREAMS = (("__properties_version1.0", "msg"), ("WordDocument", "doc"), ("Workbook", "xls"), ("Book", "xls"), ("PowerPoint Document", "ppt"))
+OLE = bytes.fromhex("D0CF11E0A1B11AE1")
+_FREE = 0xFFFFFFFA  # numbers from here on name no sector
+
+
+def ole_streams(content: bytes) -> list[str]:
+    """Names in the directory of a compound file, whose sectors a table chains; damaged chains end where they break."""
+    if not content.startswith(OLE) or len(content) < 512:
+        return []
+    size = 1 << min(int.from_bytes(content[30:32], "little"), 12)
+    listed = struct.unpack("<109I", content[76:512])
+    table = b"".join(content[(s + 1) * size : (s + 2) * size] for s in listed if s < _FREE)
+    names, sector, seen = [], int.from_bytes(content[48:52], "little"), set()
+    while sector < _FREE and sector not in seen:
+        seen.add(sector)
+        part = content[(sector + 1) * size : (sector + 2) * size]
+        for i in range(0, len(part) - 127, 128):
+            length = int.from_bytes(part[i + 64 : i + 66], "little")
+            if 2 <= length <= 64:
+                names.append(part[i : i + length - 2].decode("utf-16-le", "replace"))
+        link = table[4 * sector : 4 * sector + 4]
+        sector = int.from_bytes(link, "little") if len(link) == 4 else _FREE
+    return names
+
+
+def compound(content: bytes) -> str | None:
+    """The format of a compound file by its streams."""
+    names = {n.lower() for n in ole_streams(content)}
+    return next((kind for stream, kind in _STREAMS if stream.lower() in names), None)
+
+
 @F.pandas_udf(T.StringType())
 def container_udf(content: pd.Series) -> pd.Series:
-    return content.map(container)
+    return content.map(lambda x: None if x is None else compound(x) if x.startswith(OLE) else container(x))
+
+
+def looks_like_layout(content: Column) -> Column:
+    """JSON that names the schema of layout documents near its begin."""
+    return F.decode(F.substring(content, 1, 4096), "ISO-8859-1").rlike(r'(?s)^(?:ï»¿)?\s*\{.*"schema_name"\s*:\s*"DoclingDocument"')
 
 
 def classify(content: Column, name: Column) -> Column:
-    """Containers, magic bytes, HTML by its begin, then the extension; SVG content loses to a text extension."""
+    """Containers, magic bytes, layout JSON, HTML by its begin, then the extension; SVG content loses to the extension of a text."""
     magic = sniff(content)
-    inside = F.when(magic == "zip", container_udf(F.when(magic == "zip", content)))
+    packed = magic.isin("zip", "ole")
+    inside = F.when(packed, container_udf(F.when(packed, content)))
     named = by_extension(name)
-    svg = F.when(looks_like_svg(content) & ~F.coalesce(named.isin("text", "markdown", "csv"), F.lit(False)), "svg")
-    found = F.when(magic.isin("zip", "ole"), F.coalesce(inside, named, magic)).otherwise(magic)
-    return F.coalesce(found, F.when(looks_like_html(content), "html"), svg, named)
+    svg = F.when(looks_like_svg(content), F.when(named.isin("text", "markdown", "html"), named).otherwise("svg"))
+    found = F.when(packed, F.coalesce(inside, named, magic)).otherwise(magic)
+    return F.coalesce(found, svg, F.when(looks_like_layout(content), "layout_json"), F.when(looks_like_html(content), "html"), named)
