@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -99,6 +100,50 @@ def test_a_language_of_copies_keeps_its_centroid(spark):
     assert model.predict("der Hund schlief unter der Straße")[0] == "de" and model.predict("the birds sat there")[0] == "en"
 
 
+def naive_places(template, words):
+    """Starts of a template by trying every choice of phrase places."""
+    def occurrences(own):
+        return [i for i in range(len(words) - len(own) + 1) if words[i : i + len(own)] == own]
+
+    out = []
+    for first in occurrences(template.phrases[0][1]):
+        reached = {first}
+        for (before, last), (at, own) in zip(template.phrases, template.phrases[1:], strict=False):
+            gap = at - before
+            reached = {j for i in reached for j in occurrences(own) if gap - license_scan.WINDOW <= j - i <= gap + license_scan.WINDOW and j - i >= min(len(last), gap)}
+        if reached:
+            out.append(max(first - template.phrases[0][0], 0))
+    return out
+
+
+def test_licence_labels_against_brute_force(spark, small):
+    rng = random.Random(11)
+    templates = license_scan.default_templates()
+    notices = [" ".join(w.decode() for w in t.words) for t in templates]
+    texts = [r.text for r in small.collect()]
+    for _ in range(80):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(notices).split()
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = ["x"] * rng.randrange(3)
+            parts.append(" ".join(words))
+        texts.append(" some other words ".join(parts))
+    rows = list(enumerate(texts))
+    for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        words = license_scan.words_of(texts[r.doc_id])
+        want = sorted((t.label, start) for t in templates for start in naive_places(t, words))
+        assert sorted((p.label, p.start) for p in r.places) == want
+        assert r.labels == ",".join(sorted({label for label, _ in want}))
+
+
+def test_licence_versions(spark):
+    texts = ["GNU General Public License, version 3 or later", "GNU General Public License v2", "the Apache License, Version 2.0", "GNU Lesser General Public License 2.1", "Mozilla Public License", "CC BY-SA 4.0"]
+    out = {r.doc_id: defaultdict(lambda: None, {p.label: p.version for p in r.places if p.version}) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[0]["gpl"], out[1]["gpl"], out[2]["apache"], out[3]["lgpl"], out[4]["mpl"], out[5]["cc-by-sa"]] == ["3", "2", "2.0", "2.1", None, "4.0"]
+
+
 def test_flac_round_trip(odd, odd_extended, none, small):
     for frame in (odd, odd_extended, small):
         want = {}
