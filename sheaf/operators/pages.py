@@ -284,15 +284,14 @@ def alphabetic(value: Column) -> Column:
     return F.repeat(letter, (F.floor((value - 1) / 26) + 1).cast("int"))
 
 
-def labels(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Labels by the last range (from_page, style, prefix, start) that begins at or before a page; decimal numbers without one."""
-    placed = pages.select("doc", "page", F.lit(None).cast("struct<from_page:int,style:string,prefix:string,start:int>").alias("r"))
-    begins = counted(pages).select("doc").join(F.broadcast(ranges)).select(
-        "doc", F.col("from_page").alias("page"), F.struct("from_page", "style", "prefix", "start").alias("r")
-    )
-    both = placed.withColumn("real", F.lit(True)).unionByName(begins.withColumn("real", F.lit(False)))
-    last = F.last("r", ignorenulls=True).over(Window.partitionBy("doc").orderBy("page", "real"))
-    out = both.withColumn("r", last).filter("real").select("doc", "page", "r.*")
+def labels(pages: DataFrame, ranges: list[tuple[int, str, str, int]]) -> DataFrame:
+    """Labels by the last range (from page, style, prefix, start) that begins at or before a page; decimal numbers without one.
+    The ranges serve all documents and are part of the plan, so nothing is joined."""
+    names = ("from_page", "style", "prefix", "start")
+    found = F.lit(None).cast("struct<from_page:int,style:string,prefix:string,start:int>")
+    for values in sorted(ranges, key=lambda r: r[0]):
+        found = F.when(F.col("page") >= values[0], F.struct(*[F.lit(v).alias(n) for n, v in zip(names, values, strict=True)])).otherwise(found)
+    out = pages.select("doc", "page", found.alias("r")).select("doc", "page", "r.*")
     number = (F.coalesce("start", F.lit(1)) + F.col("page") - F.coalesce("from_page", F.lit(1))).cast("int")
     style = F.coalesce("style", F.lit("decimal"))
     text = F.when(style == "roman", roman(number)).when(style == "alpha", alphabetic(number)).when(style == "none", "").otherwise(number.cast("string"))

@@ -87,7 +87,8 @@ def outline_from_headings(t):
     SELECT count(*) AS left_rows, (SELECT count(*) FROM w) AS right_rows FROM v""")
 def layout_inputs(t):
     left, right = _layouts(t)
-    return left.agg(F.count("*").alias("left_rows")).join(right.agg(F.count("*").alias("right_rows")))
+    rows = left.select(F.lit(True).alias("is_left")).unionByName(right.select(F.lit(False).alias("is_left")))
+    return rows.agg(F.count_if("is_left").alias("left_rows"), F.count_if(~F.col("is_left")).alias("right_rows"))
 
 
 def _layouts(t):

@@ -153,8 +153,7 @@ def bates_numbers(t):
     SELECT doc, page::INT AS page, prefix || CASE style WHEN 'roman' THEN ['i', 'ii', 'iii', 'iv'][k] WHEN 'alpha' THEN repeat(chr((97 + (k - 1) % 26)::INT), (k - 1) // 26 + 1)
            ELSE k::VARCHAR END AS label FROM j""")
 def page_labels_asof(t):
-    ranges = t.spark.createDataFrame([(1, "roman", "", 1), (3, "decimal", "P-", 1), (5, "alpha", "", 26)], "from_page int, style string, prefix string, start int")
-    return P.labels(plan(t), ranges)
+    return P.labels(plan(t), [(1, "roman", "", 1), (3, "decimal", "P-", 1), (5, "alpha", "", 26)])
 
 
 @query(f"""
@@ -295,12 +294,11 @@ def page_compare(t):
     SELECT o_orderkey AS doc, name, coalesce(CASE name WHEN 'priority' THEN o_orderpriority WHEN 'status' THEN nullif(o_orderstatus, 'P') END, '-') AS value
     FROM orders, (VALUES ('priority'), ('status'), ('note')) f(name)""")
 def forms_fill(t):
-    fields = t.spark.createDataFrame([("priority",), ("status",), ("note",)], "name string")
     values = t.orders.select(
         F.col("o_orderkey").alias("doc"),
         F.map_from_arrays(F.array(F.lit("priority"), F.lit("status")), F.array("o_orderpriority", F.nullif("o_orderstatus", F.lit("P")))).alias("values"),
     )
-    out = values.join(F.broadcast(fields))  # the template's fields for each record
+    out = values.withColumn("name", F.explode(F.array(F.lit("priority"), F.lit("status"), F.lit("note"))))  # the template's fields
     return out.select("doc", "name", F.coalesce(F.try_element_at("values", F.col("name")), F.lit("-")).alias("value"))
 
 
