@@ -75,3 +75,18 @@ def path_scores(found: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(whole, F.round(F.product("fidelity"), 6)).alias("fidelity"), F.when(whole, F.round(F.product("editability"), 6)).alias("editability"), F.when(whole, F.sum("p50_ms")).alias("p50_ms")
     )
     return out
+
+
+def engines(edges: DataFrame) -> DataFrame:
+    """Per engine: its edges, those that are measured and those that run locally, and numbers of formats."""
+    return edges.groupBy("engine").agg(
+        F.count("*").alias("edges"), F.count("fidelity").alias("measured"), F.count_if(F.array_contains("runtime", "local")).alias("local"),
+        F.count_distinct("from_id").alias("inputs"), F.count_distinct("to_id").alias("outputs"),
+    )
+
+
+def coverage(edges: DataFrame, best: DataFrame) -> DataFrame:
+    """Per format: numbers of targets and the steps of the longest best route; null steps where nothing is reached."""
+    formats = edges.select(F.col("from_id").alias("format")).unionByName(edges.select(F.col("to_id").alias("format"))).distinct()
+    found = best.filter("from_id <> to_id").groupBy(F.col("from_id").alias("format")).agg(F.count("*").alias("targets"), F.max("steps").alias("steps"))
+    return formats.join(found, "format", "left").fillna(0, ["targets"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheaf.functions import text as X
+from sheaf.operators import editing as D
 from sheaf.operators import scoring as C
 from sheaf.operators import tables as G
 from sheaf.plans import routes as R
@@ -179,6 +180,41 @@ def table_grid(t):
     return G.grids(cells, "tab")
 
 
+@query("""
+    SELECT c_custkey, sha256('# ' || c_name || e'\n\n' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE CASE WHEN c_custkey % 3 = 1 THEN 'New text' ELSE c_mktsegment END || e'\n\n' END || e'- one\n\n- two\n') AS digest,
+           CASE c_custkey % 3 WHEN 0 THEN 'removed' WHEN 1 THEN 'changed' END AS change, 1.0::DOUBLE AS fidelity FROM customer""")
+def edit_and_export(t):
+    """Small Markdown files, of which the second block is changed, removed or left."""
+    k = F.col("c_custkey")
+    files = t.customer.select("c_custkey", F.concat(F.lit("# "), "c_name", F.lit("\n\n"), "c_mktsegment", F.lit("\n\n- one\n- two\n")).alias("text"))
+    edits = t.customer.filter(k % 3 < 2).select("c_custkey", F.lit("b1").alias("id"), F.when(k % 3 == 1, "New text").alias("text"))
+    out = D.exported(D.opened(files, "c_custkey", "text", "markdown"), edits, "c_custkey", "markdown")
+    return out.select("c_custkey", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.get("changes", 0)["kind"].alias("change"), F.round("fidelity", 6).alias("fidelity"))
+
+
+@query("SELECT page_id, true AS whole, title FROM (SELECT page_id, nullif(trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '[ \\t\\n]+', ' ', 'g')), '') AS title FROM pages)")
+def open_pages(t):
+    """Pages opened for editing: writing their blocks and reading them again keeps the text."""
+    found = D.opened(t.pages, "page_id", "html", "html")
+    titles = read_html(t.pages).select("page_id", "title")
+    return found.select("page_id", (F.col("preview") > 0.999).alias("whole")).join(titles, "page_id")
+
+
+@query(f"""
+    WITH {_GRAPH} SELECT engine, count(*) AS edges, count(fidelity) AS measured, count(*) FILTER (list_contains(runtime, 'local')) AS local, count(DISTINCT from_id) AS inputs, count(DISTINCT to_id) AS outputs FROM e GROUP BY 1""")
+def engine_specs(t):
+    """The table of engines: what each converts, and how much of that is measured and runs here."""
+    return R.engines(_edges(t))
+
+
+@query(f"""
+    WITH RECURSIVE {_ROUTES}, f AS (SELECT DISTINCT from_id AS format FROM e UNION SELECT to_id FROM e), m AS (SELECT from_id, count(*) AS targets, max(len(engines)) AS steps FROM k WHERE rank = 1 AND from_id <> to_id GROUP BY 1)
+    SELECT format, coalesce(targets, 0) AS targets, steps::INT AS steps FROM f LEFT JOIN m ON f.format = m.from_id""")
+def doctor_report(t):
+    """For each format, how many others it reaches and the longest of the best routes there."""
+    return R.coverage(_edges(t), R.ranked(R.routes(_edges(t), "editable"), 1))
+
+
 def _package(key: int) -> bytes:
     """A small container whose kind depends on a number."""
     import io
