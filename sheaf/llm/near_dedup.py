@@ -8,7 +8,7 @@ buckets: a pair of similarity 0.8 misses all of them with probability (1 - 0.8 *
 Documents of equal sets are one class from the start. Buckets propose edges in the shape of stars: their first member
 against the others; an edge is a link only if the full sets confirm it. Where a bucket still holds several components,
 a few members of its largest one are tried against the members outside it, and if that leaves several components, all
-outsiders meet the members of other components, in blocks of bounded size: a pair whose signatures or short hashes are
+outsiders meet the members of other components, in blocks of bounded size: a pair whose sizes, signatures or short hashes are
 too far apart for the similarity asked is refuted there, the others are confirmed or refuted on the full sets. So
 every pair that shares a bucket is confirmed, refuted or already connected, while a bucket of one group costs as many
 edges as it has members.
@@ -42,8 +42,9 @@ PERCENT = 80
 WORDS = 5
 #: Members of a bucket's largest component that are tried against its other members after the first stars.
 HUBS = 4
-#: Members of a bucket in one block, and by how many standard deviations a signature may fall short of a similarity.
-BLOCK, DEVIATIONS = 256, 4.7
+#: Members of a bucket in one block; by how many standard deviations of independent bins a signature may fall short of a similarity
+#: (densified ones vary by a quarter more), and shingles of a set below which its signature decides nothing.
+BLOCK, DEVIATIONS, SMALL = 256, 8.0, 64
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -143,12 +144,13 @@ def _sets(words: int):
 
 
 def _short_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sixteen bits of every bin of the signature, and thirty-two bits of every hash of the set."""
+    """Sixteen bits of every bin of the signature, thirty-two bits of every hash of the set, and the bucket keys."""
     for batch in batches:
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("hashes")]
+        keys = pa.array([bands(x).tobytes() for x in sets], pa.binary())
         short = pa.array([(signature(x) & np.uint64(0xFFFF)).astype(np.uint16).tobytes() for x in sets], pa.binary())
         low = pa.array([np.unique((x & np.uint64(0xFFFFFFFF)).astype(np.uint32)).tobytes() for x in sets], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), short, low], names=["cls", "short", "low"])
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), short, low, keys], names=["cls", "short", "low", "keys"])
 
 
 def _near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -159,8 +161,8 @@ def _near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _compare(percent: int):
-    """Pairs of one block: a probe and a member of another component that meet in no earlier band, are of fitting sizes,
-    whose signatures agree in nearly as many bins as `percent` asks for, and whose sets of short hashes do too."""
+    """Pairs of one block: a probe and a member of another component that share no earlier bucket, are of fitting sizes, whose
+    signatures, if the sets are not small, agree in nearly as many bins as `percent` asks for, and whose sets of short hashes do too."""
     least = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / BINS) ** 0.5
 
     def run(table: pa.Table) -> pa.Table:
@@ -168,17 +170,17 @@ def _compare(percent: int):
         cls, comp, n = (np.array(table[c].to_pylist(), object if c != "n" else np.int64) for c in ("cls", "comp", "n"))
         outside = np.array(table["outside"].to_pylist())
         short = np.frombuffer(b"".join(table["short"].to_pylist()), np.uint16).reshape(-1, BINS)
+        keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.int64).reshape(-1, BANDS)
         band = table["band"][0].as_py() if len(cls) else 0
         low = [np.frombuffer(x.as_buffer(), np.uint32) for x in table["low"]]
         members = np.flatnonzero(~probe)
         a, b = [], []
         for i in np.flatnonzero(probe) if len(members) else ():
-            equal = short[members] == short[i]
-            hits = np.flatnonzero((equal.sum(1) >= least * BINS) & (comp[members] != comp[i]))
-            meets = equal[hits].reshape(-1, BANDS, ROWS).all(2)
-            for m in members[hits[(meets.argmax(1) == band) & meets[:, band]]]:
-                fits = 100 * min(n[i], n[m]) >= percent * max(n[i], n[m])
-                if fits and (not outside[m] or cls[i] < cls[m]) and _near(low[i], low[m], percent):
+            fits = 100 * np.minimum(n[i], n[members]) >= percent * np.maximum(n[i], n[members])
+            near = (n[members] < SMALL) | (n[i] < SMALL) | ((short[members] == short[i]).sum(1) >= least * BINS)
+            hits = members[fits & near & (comp[members] != comp[i])]
+            for m in hits[(keys[hits] == keys[i]).argmax(1) == band]:
+                if (not outside[m] or cls[i] < cls[m]) and _near(low[i], low[m], percent):
                     a.append(min(cls[i], cls[m]))
                     b.append(max(cls[i], cls[m]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
@@ -297,12 +299,12 @@ class NearDuplicates:
 
         Buckets are cut into blocks of about BLOCK members and compared block by block, so that no task holds a bucket.
         """
-        short = self.sets.mapInArrow(_short_signatures, "cls binary, short binary, low binary")
+        short = self.sets.mapInArrow(_short_signatures, "cls binary, short binary, low binary, keys binary")
         rows = rows.join(short, "cls")
         across, down = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("long") for c in ("size", "outsiders"))
         spread = F.pmod(F.xxhash64("cls"), F.lit(1 << 30))
         first = F.lit(0).cast("long")
-        named = ["band", "cls", "n", "comp", "outside", "short", "low"]
+        named = ["band", "cls", "n", "comp", "outside", "short", "low", "keys"]
         left = rows.filter("outside").select(
             "key", F.pmod(spread, down).alias("i"), F.explode(F.sequence(first, across - 1)).alias("j"), F.lit(True).alias("probe"), *named
         )
