@@ -2,8 +2,9 @@
 
 Memtables: every input task turns its share into (digest, id) rows. Flush: it writes them as one sorted run with a
 Parquet Bloom filter and min/max statistics on the digest. Compaction: the runs merge into one level that keeps the
-smallest identifier of each digest and the size of its group; partial aggregation leaves one row per digest and task, so
-a group that holds a third of all rows is no hot key. Hits: rows whose digest occurs more than once are found through a
+smallest identifier of each digest and the size of its group. Merging is an aggregation: a task's partial sums leave one row per
+digest of its runs before anything is shuffled, so a group that holds a third of all rows is no hot key; the level is sorted by
+digest again. Lookups of single digests read the level through its order and filters. Hits: rows whose digest occurs more than once are found through a
 filter of fixed size, and their bytes are verified: a group is one text exactly if its least and greatest texts are
 equal. Groups that fail (a digest collision) are settled by grouping on the bytes themselves.
 
@@ -74,6 +75,11 @@ class MergeIndex:
         self.odd = written(spread.filter("lo <> hi").select("digest"), "dedup-odd")
         self.clean = self.odd.isEmpty()
 
+    def lookup(self, digests: list[str]) -> DataFrame:
+        """(digest, keep_id, n) of the digests that the index holds. The comparison reaches the scan, where statistics of sorted
+        pages and Bloom filters skip what can't hold one of them."""
+        return self.level.filter(F.col("digest").isin(list(digests))).select("digest", "keep_id", "n")
+
     def members(self) -> DataFrame:
         """Per input row: id, keep_id, group_size, kept, sha (of the normalised text)."""
         even = self.runs if self.clean else self.runs.join(self.odd, "digest", "left_anti")

@@ -53,3 +53,15 @@ def test_collisions_are_settled_on_the_bytes(odd, small):
 def test_empty(none):
     assert exact_dedup(none).count() == 0
     assert MergeIndex(none).survivors().count() == 0
+
+
+def test_lookups_reach_the_scan(small, capsys):
+    import hashlib
+
+    index = MergeIndex(small)
+    rows = [(r.doc_id, " ".join(r.text.split())) for r in small.collect()]
+    wanted = [hashlib.sha256(normal.encode()).hexdigest() for _, normal in rows[:5]]
+    found = index.lookup([*wanted, "0" * 64])
+    assert {r.digest for r in found.collect()} <= set(wanted) and found.count() > 0
+    found.explain("formatted")
+    assert "PushedFilters: [In(digest" in capsys.readouterr().out
