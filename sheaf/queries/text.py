@@ -80,9 +80,11 @@ def pii_card(t):
     WITH {_runs('[0-9]+(?:[ .-][0-9]+)*', '[0-9]+', 9, 11)}
     SELECT doc_id, count(*) FILTER (length(code) = 12) AS cccd, count(*) AS cmnd FROM r WHERE length(code) IN (9, 12) GROUP BY 1""")
 def pii_national(t):
-    found = M.matches(F.col("text"), "cccd", "cmnd")
-    kinds = [F.size(F.filter("m", lambda x, k=k: x.preset == k)).cast("long").alias(k) for k in ("cccd", "cmnd")]
-    return t.documents.select("doc_id", found.alias("m")).select("doc_id", *kinds).filter("cmnd > 0")
+    def count(preset: str):
+        return F.size(F.filter("m", lambda x: x.preset == preset)).cast("long").alias(preset)
+
+    found = t.documents.select("doc_id", M.matches(F.col("text"), "cccd", "cmnd").alias("m"))
+    return found.select("doc_id", count("cccd"), count("cmnd")).filter("cmnd > 0")
 
 
 _MOD_97 = """list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(substr(upper(code), 5) || substr(upper(code), 1, 4), ''),
