@@ -24,9 +24,9 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select(f"{ROW}.*")
 
 
-#: Bits of one bitmap of the membership filter, bitmaps of the smallest and of the largest one (1 MB and 64 MB), and bits that a
+#: Bits of one bitmap of the membership filter, bitmaps of the smallest and of the largest one (1 MB and 16 MB), and bits that a
 #: key should have. A filter never grows beyond the largest: more keys than fit let more rows pass, and the join behind it decides.
-FILTER_WIDTH, FEWEST, MOST, BITS_A_KEY = 32768, 256, 16384, 16
+FILTER_WIDTH, FEWEST, MOST, BITS_A_KEY = 32768, 256, 4096, 16
 
 
 class KeyFilter:
