@@ -73,12 +73,12 @@ def test_marginals_meet_the_targets(spark):
 
 def test_odd_rows(odd, odd_extended, none):
     for frame in (odd, odd_extended):
-        out = M.drawn(M.described(frame)).collect()
+        out = M.drawn(M.described(frame), sweeps=3).collect()
         assert len(out) == frame.count()
         assert {r.topic for r in out if not (r["__row"].text or "").strip()} == {"empty"}
-        sample = M.sample_documents(frame)
+        sample = M.sample_documents(frame, sweeps=3)
         assert sample.columns == frame.columns and sample.count() == sum(r.kept for r in out)
-        assert M.probabilities(frame).count() == frame.count()
+        assert M.probabilities(frame, sweeps=3).count() == frame.count()
     assert M.sample_documents(none).count() == 0
     assert M.drawn(M.described(none), single_cells=-1, sweeps=1).count() == 0
 
