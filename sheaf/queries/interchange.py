@@ -16,6 +16,9 @@ from sheaf.sources import formats, forms
 from sheaf.sources import interchange as I
 from sheaf.sources.mail import front_matter
 
+#: Keys of one style sheet, a multiple of three: styles and their parents share a sheet, and sheets stay far below the reader's limit.
+SHEET_STYLES = 3000
+
 
 def _json_text(text: Column) -> Column:
     """A text as a JSON string."""
@@ -192,7 +195,7 @@ def office_styles(t):
         F.when(k % 5 == 0, "<w:b/>").when(k % 5 == 1, '<w:b w:val="0"/>').otherwise(""),
         F.when(k % 2 == 0, F.format_string('<w:sz w:val="%d"/>', F.col("p_size"))).otherwise(""), F.lit("</w:rPr></w:style>"),
     )
-    sheets = t.part.groupBy((k % 16).alias("doc")).agg(F.array_join(F.collect_list(style), "").alias("body"))
+    sheets = t.part.groupBy(F.floor(k / SHEET_STYLES).alias("doc")).agg(F.array_join(F.collect_list(style), "").alias("body"))
     source = F.concat(F.lit('<w:styles xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main">'), "body", F.lit("</w:styles>"))
     found = sheets.select(I.styles()(source).alias("d")).select(F.inline("d.styles"))
     return found.select(F.substr("id", F.lit(2)).cast("long").alias("p_partkey"), "id", "name", "based_on", "size_pt", "bold")
