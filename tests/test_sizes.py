@@ -26,3 +26,10 @@ def test_styles_beyond_the_bytes_of_one_sheet(both):
     part = pd.DataFrame({"p_partkey": range(0, 144_000, 16), "p_name": "long & <wide> " * 70, "p_size": 7})
     got, want = both("office_styles", "part", part)
     assert len(got) == 9000 and got == want
+
+
+def test_titles_with_other_entities(both):
+    titles = ["a &amp; b", "token = &quot;0c", "cut &amp", "  \n ", "&lt;b&gt;  c\t\nd", None]
+    pages = pd.DataFrame({"page_id": [1, 2, 3, 4, 5, 6], "html": [None if x is None else f"<html><title>{x}</title><p>x</p></html>" for x in titles]})
+    got, want = both("open_pages", "pages", pages)
+    assert len(got) == 6 and got == want
