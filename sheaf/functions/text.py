@@ -106,11 +106,27 @@ def sanitize_stem(name: Column) -> Column:
     return F.when(out == "", "document").otherwise(F.left(out, F.lit(100)))
 
 
+def code_point(value: Column) -> Column:
+    """The character of a code point; Spark's own char() takes it modulo 256."""
+    v = value.cast("long")
+
+    def tail(k: int) -> Column:
+        return (F.shiftright(v, 6 * k) % 64 + 0x80) * 256**k
+
+    coded = (
+        F.when(v < 0x80, v)
+        .when(v < 0x800, (F.shiftright(v, 6) + 0xC0) * 256 + tail(0))
+        .when(v < 0x10000, (F.shiftright(v, 12) + 0xE0) * 256**2 + tail(1) + tail(0))
+        .otherwise((F.shiftright(v, 18) + 0xF0) * 256**3 + tail(2) + tail(1) + tail(0))
+    )
+    return F.unhex(F.hex(coded)).cast("string")
+
+
 def column_name(index: Column) -> Column:
-    """Spreadsheet columns from 0: A, Z, AA; to three letters."""
+    """Spreadsheet columns from 0: A, Z, AA, ZZZ. Behind ZZZ three places stay, and the first runs on through the code points."""
 
     def letter(value: Column) -> Column:
-        return F.char((F.lit(65) + value).cast("int"))
+        return code_point(F.lit(65) + value)
 
     two, three = F.floor((index - 26) / 26), F.floor((index - 702) / 676)
     last = letter(F.pmod(index, F.lit(26)))

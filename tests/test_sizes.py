@@ -33,3 +33,9 @@ def test_titles_with_other_entities(both):
     pages = pd.DataFrame({"page_id": [1, 2, 3, 4, 5, 6], "html": [None if x is None else f"<html><title>{x}</title><p>x</p></html>" for x in titles]})
     got, want = both("open_pages", "pages", pages)
     assert len(got) == 6 and got == want
+
+
+def test_column_names_beyond_three_letters(both):
+    keys = [0, 701, 702, 18_277, 18_278, 43_289, 43_290, 129_817, 129_818, 163_733, 1_199_999, 1_340_905, 1_340_906, 44_000_000, 45_000_000]
+    got, want = both("column_names", "part", pd.DataFrame({"p_partkey": keys}))
+    assert len(got) == len(keys) and got == want
