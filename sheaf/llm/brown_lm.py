@@ -4,8 +4,9 @@ Classes. The HOT_UNITS most frequent words are clustered first, by exchange on t
 lexicon, the HOT_WORDS most frequent ones, then join the class that raises the likelihood of the class bigrams most, given
 how often they stand before and after words of each class; EXCHANGES more passes move the lexicon's words again, all at
 once, by the classes that all of them have by then. Last, every other training word joins a class in the same way by the
-lexicon's words around it, in a distributed table that grows with the corpus. So each word that training has seen has a class
-by exchange and an emission probability of its own:
+lexicon's words around it, in a distributed table that grows with the corpus; those with neighbours beyond the lexicon are then
+exchanged once more, all at once, by all their neighbours and the classes that these have by then. So each word that training has
+seen has a class by exchange and an emission probability of its own:
 
     p(word | before) = p(class | class before) * p(word | class)
 
@@ -16,7 +17,8 @@ probability is the sum of these shares over all classes. After such a word class
 Scale. Texts are split into words three times: to count words, to number the training texts' words, and to score. The
 numbers are kept as a table, and all passes of clustering read them alone. What goes to the driver is bounded by parameters: up to HOT_WORDS
 words with counts and classes, bigrams of HOT_UNITS + 2 units, and tables of classes. Words beyond the lexicon are too rare to be
-hot keys of a join. In the transitions' counts, two neighbouring words that are both beyond the lexicon are left out.
+hot keys of a join. The transitions' counts hold every two neighbouring words of training, also those that are both beyond the
+lexicon: these are a table of links between words, which both ends' classes are joined to.
 
 Defined results. Null and empty texts are the end token alone. Rows with null identifier are scored like others, an identifier
 that is no number becomes null; repeated rows give equal rows. Without training texts the vocabulary is empty, every word is
@@ -299,12 +301,14 @@ def gains(table: np.ndarray, cell: np.ndarray, n: np.ndarray, starts: np.ndarray
     base = np.concatenate([table[:, :classes], table[:classes].T]).astype(np.float64)
     before, after = table.sum(0)[:classes].astype(np.float64), table.sum(1)[:classes].astype(np.float64)
     word = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(cell))))
-    here, n = base[cell], n.astype(np.float64)
-    plus = _xlogx(here + n[:, None]) - _xlogx(here)
+    n, alone = n.astype(np.float64), _xlogx(base)
+    plus = (_xlogx(base + 1) - alone)[cell]  # most cells hold one occurrence
+    more = np.flatnonzero(n != 1)
+    plus[more] = _xlogx(base[cell[more]] + n[more, None]) - alone[cell[more]]
     totals = [np.add.reduceat(np.where(side, n, 0.0), starts) for side in (cell <= classes, cell > classes)]
     if own is not None:
         rows, o = np.arange(len(cell)), own[word]
-        mine = here[rows, o]
+        mine = base[cell, o]
         plus[rows, o] = _xlogx(mine) - _xlogx(mine - n)
     out = np.add.reduceat(plus, starts, axis=0)
     for sums, total in ((before, totals[0]), (after, totals[1])):
@@ -352,43 +356,144 @@ def cluster(texts: DataFrame, lexicon: Lexicon, hot_units: int, classes: int, pa
 
 
 def _surroundings(shared):
-    """Rare words with the classes before and after them, in one number."""
+    """Rare words with the classes before and after them, in one number, and the word after them if it is rare, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = shared.value
         for numbers, part in _joined(batches):
-            at, c = np.flatnonzero(numbers < 0), own[numbers]
+            at, c, words = np.flatnonzero(numbers < 0), own[numbers], part.column(1).flatten()
             around = pa.array((c[at - 1] * n + c[at + 1]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([part.column(1).flatten(), around], names=["word", "around"])
+            after = words.take(pa.array(np.arange(1, len(at) + 1), mask=numbers[at + 1] >= 0))
+            yield pa.RecordBatch.from_arrays([words, around, after], names=["word", "around", "next"])
 
     return run
 
 
+def _merged(word: np.ndarray, cell: np.ndarray, n: np.ndarray, words: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells of words, each cell of a word once, with their counts and each word's first place; a word without any has one of count 0."""
+    keys = np.concatenate([word[n > 0] * (2 * size) + cell[n > 0], np.arange(words) * (2 * size)])
+    keys, at = np.unique(keys, return_inverse=True)
+    counts = np.bincount(at, np.concatenate([n[n > 0], np.zeros(words, np.int64)]), len(keys))
+    return keys % (2 * size), counts, np.searchsorted(keys, np.arange(words) * (2 * size))
+
+
+def _lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The values of lists, each one's list, and each list's length."""
+    sizes = np.diff(column.offsets.to_numpy())
+    return column.flatten(), np.repeat(np.arange(len(sizes)), sizes), sizes
+
+
+def _sides(word: np.ndarray, around: np.ndarray, m: np.ndarray, n: int) -> list[np.ndarray]:
+    """Words, cells and counts of the lexicon's words around; a rare word counts 0 here."""
+    before, after = around // n, around % n
+    m = m.astype(np.int64)
+    return [np.append(word, word), np.append(before, n + after), np.append(np.where(before < n - 1, m, 0), np.where(after < n - 1, m, 0))]
+
+
+RARE_WORDS = "word binary, id long, c long, class int, paired boolean, around array<struct<around:int,next:binary,n:bigint>>"
+
+
 def _join_classes(shared):
-    """Words beyond the lexicon with the class that they join; words with no lexicon word around them join the largest."""
+    """Words beyond the lexicon with the class that they join by the lexicon's words around them; words with none around them start
+    in the largest. Paired words have neighbours beyond the lexicon, `_exchange_classes` takes them on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        from pyspark import TaskContext
+
+        table, row = shared.value, TaskContext.get().partitionId() << 40
         n = len(table)
         largest = 1 + int(table.sum(0)[1 : n - 1].argmax()) if n > 2 else 1
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                lists = part.column(1)
-                flat = lists.flatten()
+                flat, word, sizes = _lists(part.column(1))
                 around, m = flat.field("around").to_numpy(), flat.field("n").to_numpy()
-                sizes = np.diff(lists.offsets.to_numpy())
-                cell = np.stack([around // n, n + around % n], 1).reshape(-1)
-                count = np.where(cell % n == n - 1, 0, np.repeat(m, 2))
-                starts = 2 * np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                total = np.bincount(word, m, len(sizes)).astype(np.int64)
+                paired = np.bincount(word, (around // n == n - 1) | (around % n == n - 1), len(sizes)) > 0
+                cell, count, starts = _merged(*_sides(word, around, m, n), len(sizes), n)
                 best = gains(table, cell, count, starts).argmax(1)
                 best = np.where(np.add.reduceat(count, starts) > 0, best, largest)
-                columns = [part.column(0), pa.array(np.add.reduceat(m, starts // 2), pa.int64()), pa.array(best, pa.int32()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["word", "c", "class", "around"])
+                ids = np.arange(row, row + len(sizes))
+                row += len(sizes)
+                columns = [part.column(0), pa.array(ids), pa.array(total), pa.array(best, pa.int32()), pa.array(paired), part.column(1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "id", "c", "class", "paired", "around"])
+
+    return run
+
+
+def _exchange_classes(shared):
+    """Paired words with the class that they join by all words around them, given the classes that all words have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        n = len(table)
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                around, word, sizes = _lists(part.column("around"))
+                near, close, _ = _lists(part.column("near"))
+                sides = _sides(word, around.field("around").to_numpy(), around.field("n").to_numpy(), n)
+                links = close, near.field("cell").to_numpy(), near.field("n").to_numpy()
+                cell, count, starts = _merged(*map(np.append, sides, links), len(sizes), n)
+                own, rows = part.column("class").to_numpy().astype(np.int64), np.arange(len(sizes))
+                gain = gains(table, cell, count, starts, own)
+                best = gain.argmax(1)
+                best = np.where(gain[rows, best] > gain[rows, own] + 1e-9, best, own)
+                columns = [part.column("word"), part.column("id"), part.column("c"), pa.array(best, pa.int32()), part.column("around")]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "id", "c", "class", "around"])
 
     return run
 
 
+def _beside(table: np.ndarray, words: DataFrame) -> np.ndarray:
+    """The table of class bigrams with the words (class, around) beyond the lexicon next to words of it."""
+    table, n = table.copy(), len(table)
+    around = words.select("class", F.inline("around")).groupBy("class", "around").agg(F.sum("n").alias("n"))
+    sides = around.select("class", "n", F.explode(F.array(F.expr(f"around div {n}"), F.expr(f"{n} + around % {n}"))).alias("cell"))
+    for c, cell, m in sides.groupBy("class", "cell").agg(F.sum("n")).collect():  # at most classes * 2 (classes + 1) rows
+        if cell % n < n - 1:
+            table[(cell, c) if cell < n else (c, cell - n)] += m
+    return table
+
+
+def _linked(table: np.ndarray, links: DataFrame) -> np.ndarray:
+    """The table of class bigrams with the links between words beyond the lexicon."""
+    table = table.copy()
+    for before, after, m in links.groupBy("before", "after").agg(F.sum("n")).collect():  # at most classes ** 2 rows
+        table[before, after] += m
+    return table
+
+
+def rare_classes(numbers: DataFrame, own: np.ndarray, table: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """(word, c, class) of all words beyond the lexicon, and the class bigrams of all neighbours in numbered texts. own, table: the
+    classes of the lexicon's words and their bigrams, the last class for all others."""
+    context, n = numbers.sparkSession.sparkContext, len(table)
+    # dealt by word at once: no word beyond the lexicon has more than one in HOT_WORDS of all tokens
+    rare = numbers.filter("size(rare) > 0").mapInArrow(_surroundings(context.broadcast((own, n))), "word binary, around int, next binary").repartition("word")
+    rare = rare.groupBy("word", "around", "next").agg(F.count("*").alias("n"))
+    rare = rare.groupBy("word").agg(F.collect_list(F.struct("around", "next", "n")).alias("around"))
+    rare = written(rare.mapInArrow(_join_classes(context.broadcast(table)), RARE_WORDS), "lm-rare")
+    table = table.copy()
+    table[-1], table[:, -1] = 0, 0
+    done, paired = rare.filter("not paired"), rare.filter("paired")
+    table = _beside(table, done)
+    if paired.isEmpty():
+        return done.select("word", "c", "class"), table
+    links = paired.select(F.col("id").alias("a"), F.col("class").alias("before"), F.inline("around")).filter("next is not null")
+    ends = paired.select(F.col("word").alias("next"), F.col("id").alias("b"), F.col("class").alias("after"))
+    links = written(links.select("a", "before", "next", "n").join(ends, "next").drop("next"), "lm-links")
+    near = links.select(F.expr(f"inline(array(struct(a as id, {n} + after as cell, n), struct(b as id, before as cell, n)))"))
+    near = near.repartition("id").groupBy("id", "cell").agg(F.sum("n").alias("n")).groupBy("id").agg(F.collect_list(F.struct("cell", "n")).alias("near"))
+    slim = paired.withColumn("around", F.expr("transform(around, x -> struct(x.around, x.n))")).join(near, "id")
+    state = context.broadcast(_linked(_beside(table, paired), links))
+    schema = "word binary, id long, c long, class int, around array<struct<around:int,n:bigint>>"
+    moved = written(slim.drop("paired").mapInArrow(_exchange_classes(state), schema), "lm-rare-paired")
+    for end, side in (("a", "before"), ("b", "after")):
+        links = links.drop(side).join(moved.select(F.col("id").alias(end), F.col("class").alias(side)), end)
+    columns = ["word", "c", "class"]
+    return done.select(columns).union(moved.select(columns)), _linked(_beside(table, moved), links)
+
+
 class ClassModel:
     """log10 probabilities of class transitions, and of words in their classes. The last class stands for unseen words."""
 
@@ -429,25 +534,14 @@ class Trained:
         shared = context.broadcast((own, n))
         found = numbers.select("numbers").mapInArrow(_contexts(shared), "id int, cell int, n int").filter("id < 0")
         table = _square(found.groupBy("cell").agg(F.sum("n").alias("n")).toPandas(), n)
-        # dealt by word at once: no word beyond the lexicon has more than one in HOT_WORDS of all tokens
-        rare = numbers.filter("size(rare) > 0").mapInArrow(_surroundings(shared), "word binary, around int").repartition("word")
-        rare = rare.groupBy("word", "around").agg(F.count("*").alias("n"))
-        rare = rare.groupBy("word").agg(F.collect_list(F.struct("around", "n")).alias("around"))  # at most (classes + 1) ** 2 of them
-        kind = "array<struct<around:int,n:bigint>>"
-        self.rare = written(rare.mapInArrow(_join_classes(context.broadcast(table)), f"word binary, c long, class int, around {kind}"), "lm-rare")
-        table, sizes, words = table[:classes, :classes].copy(), np.zeros(classes), np.zeros(classes)
-        around = self.rare.select("class", F.inline("around")).groupBy("class", "around").agg(F.sum("n").alias("n"))
-        sides = around.select("class", "n", F.explode(F.array(F.expr(f"around div {n}"), F.expr(f"{n} + around % {n}"))).alias("cell"))
-        for c, cell, m in sides.groupBy("class", "cell").agg(F.sum("n")).collect():  # at most classes * 2 (classes + 1) rows
-            if cell % n < classes:
-                table[(cell, c) if cell < n else (c, cell - n)] += m
+        self.rare, table = rare_classes(numbers, own, table)
+        self.table, sizes, words = table[:classes, :classes], np.zeros(classes), np.zeros(classes)
         np.add.at(sizes, self.own, lexicon.counts)
         np.add.at(words, self.own, 1)
         for c, tokens, m in self.rare.groupBy("class").agg(F.sum("c"), F.count("*")).collect():
             sizes[c] += tokens
             words[c] += m
-        self.model = ClassModel(table, sizes, words, once, twice)
-        self.rare = self.rare.drop("around")
+        self.model = ClassModel(self.table, sizes, words, once, twice)
 
 
 SEQUENCES = (

@@ -143,3 +143,34 @@ def test_frequent_words_of_one_frequency(spark):
     vocab = spark.createDataFrame([(f"w{i}".encode(), 7) for i in range(5000)] + [(B.END, 9)], "word binary, c long")
     words_, counts = B.frequent_words(vocab, 1000)
     assert words_[0] == B.END and 900 <= len(words_) <= 1001 and set(counts[1:]) == {7}
+
+
+def test_transitions_hold_every_two_neighbours(spark, small):
+    """Also those that are both beyond the lexicon: the class bigrams are those of the texts, each word by its class."""
+    train = small.limit(40).cache()
+    trained = B.Trained(train, 30, 10, 6)
+    own = dict(zip(trained.lexicon.words, trained.own, strict=True)) | {bytes(r.word): r["class"] for r in trained.rare.collect()}
+    want = np.zeros((6, 6))
+    for r in train.collect():
+        classes = [0] + [own[w] for w in words(r.text)]
+        np.add.at(want, (classes[:-1], classes[1:]), 1)
+    assert want.sum() == trained.tokens
+    assert (trained.table == want).all()
+
+
+def test_words_among_rare_words_join_their_kind(spark):
+    """x words stand between rare verbs only, so that nothing of the lexicon is around them."""
+    texts = [f"n{i % 9} v{i % 7} n{(i + 4) % 9} v{(i + 3) % 7}" for i in range(400)]
+    texts += [f"v{i % 7} n{i % 9} v{(i + 1) % 7}" for i in range(200)]  # verbs are the largest class
+    texts += [f"n1 v{100 + i} x{i} v{300 + i} n2" for i in range(60)]
+    trained = B.Trained(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot_words=16, hot_units=16, classes=3)
+    classes = {bytes(r.word).decode(): r["class"] for r in trained.rare.collect()}
+    names = {int(c) for w, c in zip(trained.lexicon.words, trained.own, strict=True) if w.startswith(b"n")}
+    assert len(trained.lexicon.words) == 17 and len(classes) == 180
+    assert {classes[f"x{i}"] for i in range(60)} == names
+    assert not {c for w, c in classes.items() if w[0] == "v"} & names
+
+
+def test_cells_of_a_word_are_merged():
+    cell, n, starts = B._merged(np.array([1, 0, 1, 1]), np.array([3, 2, 3, 9]), np.array([2, 1, 5, 0]), 3, 5)
+    assert [(cell[a:b].tolist(), n[a:b].tolist()) for a, b in zip(starts, [*starts[1:], len(cell)], strict=True)] == [([0, 2], [0, 1]), ([0, 3], [0, 7]), ([0], [0])]
