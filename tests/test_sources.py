@@ -1,11 +1,12 @@
 import io
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from sheaf.operators.tables import csv_lines, grids, placed, text_of_blocks
-from sheaf.sources import formats
+from sheaf.sources import formats, html
 from sheaf.sources.csv import parsed, read_csv
 from sheaf.sources.html import Page, read_html
 from sheaf.sources.mail import FrontMatterError, front_matter, read_mail
@@ -97,3 +98,21 @@ def test_formats(spark):
              (b"<svg xmlns='x'>", "a.x", "svg"), (b"plain", "A.CSV", "csv"), (b"plain", "a", None), (b"RIFF1234WEBPVP8", "a", "webp")]
     df = spark.createDataFrame([(bytearray(c), n) for c, n, _ in cases], "content binary, name string")
     assert [r.f for r in df.select(formats.classify(F.col("content"), F.col("name")).alias("f")).collect()] == [f for _, _, f in cases]
+
+
+def test_equal_pages_are_parsed_once(spark, monkeypatch):
+    pages = pd.DataFrame({"page_id": range(50), "html": ["<p>a", "<div>" * 1100] * 25})
+    seen = []
+    monkeypatch.setattr(html, "_read", lambda x, read=html._read: seen.append(x) or read(x))
+
+    class Pages:  # a frame that is worked off in this process
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return pd.concat(run([pages]))
+
+    found = html.read_html(Pages())
+    assert len(seen) == 2 and found["page_id"].tolist() == list(range(50))
+    assert found["error"].tolist() == [None, "elements are nested too deeply"] * 25
+    assert [[b["text"] for b in x] for x in found["blocks"]] == [["a"], []] * 25
