@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.scratch import remove, scratch_root, written
 
-__all__ = ["ROW", "SPACE", "KeyFilter", "packed", "remove", "scratch_root", "spread_join", "unpacked", "written"]
+__all__ = ["ROW", "SPACE", "KeyFilter", "packed", "remove", "scratch_root", "spread_join", "tidy", "unpacked", "written"]
 
 #: White space of the contracts, as a Java regular expression.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,6 +28,42 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select(f"{ROW}.*")
 
 
+#: By operator, how to empty what its Python workers remember between tasks.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def remembers(owner: str, clear: Callable[[], None]) -> None:
+    _caches[owner] = clear
+
+
+def _forget_others(owner: str) -> None:
+    """Workers go on to other operators' tasks, which have no use for what earlier ones have remembered."""
+    for name, clear in _caches.items():
+        if name != owner:
+            clear()
+
+
+def _give_back() -> None:
+    """Return free memory to the system; a worker that waits for its next task is counted with what it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries than glibc have none
+    if trim is not None:
+        trim(0)
+
+
+def tidy(owner: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of Arrow batches that holds no memory for other operators before its task, and no free memory after it."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        _forget_others(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidied
+
+
 #: Bits of one bitmap of the membership filter, bitmaps of the smallest and of the largest one (1 MB and 16 MB), and bits that a
 #: key should have. A filter never grows beyond the largest: more keys than fit let more rows pass, and the join behind it decides.
 FILTER_WIDTH, FEWEST, MOST, BITS_A_KEY = 32768, 256, 4096, 16

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheaf.llm.common import ROW, KeyFilter, packed, spread_join, unpacked, written
+from sheaf.llm.common import ROW, KeyFilter, packed, remembers, spread_join, tidy, unpacked, written
 
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
@@ -67,6 +67,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+remembers("near_dedup", _hashes.clear)
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -230,7 +231,7 @@ class NearDuplicates:
         self.texts = F.col(f"{ROW}.`{text_col}`")
         schema = "id long, th long, n long, cls binary, bands array<long>"
         rows = self.rows.select(self.ids.alias("id"), self.texts.alias("text"), F.xxhash64(self.texts).alias("th"))
-        self.sketches = written(rows.mapInArrow(_sketch(words), schema), "near-sketches")
+        self.sketches = written(rows.mapInArrow(tidy("near_dedup", _sketch(words)), schema), "near-sketches")
         grouped = self.sketches.filter("cls is not null").groupBy("cls")
         self.classes = written(grouped.agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "near-classes")
         self._link()
@@ -244,7 +245,7 @@ class NearDuplicates:
         wanted = written(wanted, "near-wanted")
         rows = self.rows.select(self.ids.alias("rep"), self.texts.alias("text"))
         rows = KeyFilter(wanted, "rep").probe(rows, "rep").filter("__hit").select("text")
-        found = rows.mapInArrow(_sets(self.words), "cls binary, hashes binary")
+        found = rows.mapInArrow(tidy("near_dedup", _sets(self.words)), "cls binary, hashes binary")
         self.sets = written(found.join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "near-sets")
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
@@ -252,7 +253,7 @@ class NearDuplicates:
         sets = KeyFilter(ends, "cls").probe(self.sets, "cls").filter("__hit").select("cls", "hashes")
         both = pairs.join(sets.select(F.col("cls").alias("b"), F.col("hashes").alias("hashes_b")), "b")
         both = both.join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("hashes_a")), "a")
-        return both.mapInArrow(_confirm(self.percent), "a binary, b binary")
+        return both.mapInArrow(tidy("near_dedup", _confirm(self.percent)), "a binary, b binary")
 
     def _link(self) -> None:
         buckets = self.classes.select("cls", "n", F.posexplode("bands").alias("band", "key"))
@@ -299,7 +300,7 @@ class NearDuplicates:
 
         Buckets are cut into blocks of about BLOCK members and compared block by block, so that no task holds a bucket.
         """
-        short = self.sets.mapInArrow(_short_signatures, "cls binary, short binary, low binary, keys binary")
+        short = self.sets.mapInArrow(tidy("near_dedup", _short_signatures), "cls binary, short binary, low binary, keys binary")
         rows = rows.join(short, "cls")
         across, down = (F.ceil(F.col(c) / F.lit(BLOCK)).cast("long") for c in ("size", "outsiders"))
         spread = F.pmod(F.xxhash64("cls"), F.lit(1 << 30))

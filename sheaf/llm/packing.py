@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import written
+from sheaf.llm.common import tidy, written
 from sheaf.llm.tokens import token_ids
 
 CAPACITY = 1024
@@ -63,7 +63,7 @@ def _pieces(capacity: int, end_id: int):
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
-    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(_pieces(capacity, end_id), PIECE_SCHEMA)
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(tidy("packing", _pieces(capacity, end_id)), PIECE_SCHEMA)
 
 
 class OpenBins:
@@ -125,7 +125,7 @@ def best_fit(
     tasks = max(1, -(-count // task_pieces))
     dealt = found.repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32"))
     dealt = dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(_pack(capacity, open_bins), f"{PIECE_SCHEMA}, sequence_id long, offset long")
+    return dealt.mapInArrow(tidy("packing", _pack(capacity, open_bins)), f"{PIECE_SCHEMA}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, open_bins: int = OPEN_BINS) -> DataFrame:

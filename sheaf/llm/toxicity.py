@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.llm.common import ROW, packed, unpacked
+from sheaf.llm.common import ROW, packed, remembers, tidy, unpacked
 
 TOXIC_TEXTS, CLEAN_TEXTS = 6000, 12_000
 #: Probability from which a text counts as toxic.
@@ -256,6 +256,14 @@ class WordScores(dict):
 _kept: list[WordScores] = []
 
 
+def _forget() -> None:
+    _kept.clear()
+    folded.cache_clear()
+
+
+remembers("toxicity", _forget)
+
+
 def _scores_of(machine: KernelMachine) -> WordScores:
     """The scores that this worker remembers from earlier tasks with the same machine."""
     if not _kept or _kept[0].machine is not machine:
@@ -339,14 +347,14 @@ def train(docs: DataFrame, labels: DataFrame) -> KernelMachine:
         n_toxic, n_clean = (texts.filter(F.col("label") == v).count() for v in (1, 0))
         if not n_toxic or not n_clean:
             return machine
-        found = texts.mapInArrow(_word_counts, "kind string, key binary, toxic long, clean long").groupBy("kind", "key")
+        found = texts.mapInArrow(tidy("toxicity", _word_counts), "kind string, key binary, toxic long, clean long").groupBy("kind", "key")
         found = found.agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
         base = n_toxic / (n_toxic + n_clean)
         often = found.filter((F.col("kind") == "gram") & (F.col("toxic") >= 3) & (F.col("toxic") >= MARKED * (F.col("toxic") + F.col("clean")))).toPandas()
         sure = _chance(often["toxic"].to_numpy(float), often["clean"].to_numpy(float), base) < np.log(CHANCE)
         marks = {bytes(k).decode() for k in often["key"][sure]}
         words = found.filter(F.col("kind") == "word")
-        seen = words.filter("toxic > 0").select("key", "toxic", "clean").mapInArrow(_marked(marks), "key binary, toxic long, clean long")
+        seen = words.filter("toxic > 0").select("key", "toxic", "clean").mapInArrow(tidy("toxicity", _marked(marks)), "key binary, toxic long, clean long")
         mine = _most_counted(seen, "toxic", TOXIC_WORDS)
         if not len(mine):
             return machine
@@ -361,7 +369,7 @@ def train(docs: DataFrame, labels: DataFrame) -> KernelMachine:
         spark = docs.sparkSession
         shared = spark.sparkContext.broadcast(machine)
         toxic = frozenset(bytes(k) for k in mine["key"][mine["toxic"] > 8 * mine["clean"]])
-        seen = texts.mapInArrow(_raw(shared, toxic), "label int, worst array<double>").toPandas()
+        seen = texts.mapInArrow(tidy("toxicity", _raw(shared, toxic)), "label int, worst array<double>").toPandas()
         machine.curve(np.stack(seen["worst"].to_list()), seen["label"].to_numpy() == 1)
         found.unpersist()
     finally:
@@ -436,7 +444,7 @@ def _predict(shared, threshold: float):
 def score_texts(docs: DataFrame, machine: KernelMachine, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted, and for toxic texts the worst word and its sentence (from 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(_predict(shared, threshold), SCORES)
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(tidy("toxicity", _predict(shared, threshold)), SCORES)
 
 
 def _keep(shared, threshold: float, place: int):
@@ -453,4 +461,4 @@ def keep_clean(docs: DataFrame, learn: DataFrame, labels: DataFrame, threshold:
     """The rows of docs, with all their columns, that a machine learnt from learn and labels does not reject."""
     shared = docs.sparkSession.sparkContext.broadcast(train(learn, labels))
     rows = packed(docs)
-    return unpacked(rows.mapInArrow(_keep(shared, threshold, docs.columns.index("text")), rows.schema))
+    return unpacked(rows.mapInArrow(tidy("toxicity", _keep(shared, threshold, docs.columns.index("text"))), rows.schema))
