@@ -14,8 +14,8 @@ Class transitions are interpolated with class frequencies. Emissions are discoun
 what they leave is the class's share of words that were never seen, and a word that no training text holds is one event whose
 probability is the sum of these shares over all classes. After such a word classes come by their frequencies.
 
-Scale. Texts are split into words three times: to count words, to number the training texts' words, and to score. The
-numbers are kept as a table, and all passes of clustering read them alone. What goes to the driver is bounded by parameters: up to HOT_WORDS
+Scale. Texts are split into words twice: to count the training texts' words, and to number all texts' words. The numbers are
+kept as a table, and all passes of clustering and scoring read them alone. What goes to the driver is bounded by parameters: up to HOT_WORDS
 words with counts and classes, bigrams of HOT_UNITS + 2 units, and tables of classes. Words beyond the lexicon are too rare to be
 hot keys of a join. The transitions' counts hold every two neighbouring words of training, also those that are both beyond the
 lexicon: these are a table of links between words, which both ends' classes are joined to.
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.llm.common import written
@@ -150,15 +150,16 @@ def _number(lexicon):
                     own = _numbers(index, words)
                     numbers.append(own.tobytes())
                     rare.append([words[j] for j in np.flatnonzero(own < 0)])
-                columns = [pa.array(numbers, pa.binary()), pa.array(rare, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["numbers", "rare"])
+                columns = [pa.array(numbers, pa.binary()), pa.array(rare, pa.list_(pa.binary())), *batch.slice(i, SLICE).columns[1:]]
+                yield pa.RecordBatch.from_arrays(columns, names=["numbers", "rare", *batch.schema.names[1:]])
 
     return run
 
 
 def numbered(texts: DataFrame, lexicon) -> DataFrame:
-    """Each text as the numbers of its words, four bytes each, with the words that have none, in order."""
-    return written(texts.mapInArrow(_number(lexicon), "numbers binary, rare array<binary>"), "lm-numbers", {"compression": "zstd"})
+    """Each text as the numbers of its words, four bytes each, with the words that have none, in order; other columns stay."""
+    schema = ", ".join(["numbers binary, rare array<binary>", *(f"{name} {kind}" for name, kind in texts.dtypes[1:])])
+    return written(texts.mapInArrow(_number(lexicon), schema), "lm-numbers", {"compression": "zstd"})
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
@@ -257,8 +258,8 @@ def exchange(counts: np.ndarray, classes: int, passes: int) -> np.ndarray:
     return own
 
 
-def _contexts(shared):
-    """Per task: counts of class bigrams (id -1), and of the classes before and after each word of the lexicon."""
+def _contexts(shared, words: bool = True):
+    """Per task: counts of class bigrams (id -1), and, with words, of the classes before and after each word of the lexicon."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = shared.value  # a class for every number, and for -1, which names the last place
@@ -276,7 +277,7 @@ def _contexts(shared):
         for numbers, _ in _joined(batches):
             c = own[numbers]
             table += np.bincount(c[:-1] * n + c[1:], minlength=n * n)
-            at = np.flatnonzero(numbers > 0)
+            at = np.flatnonzero(numbers > 0) if words else np.empty(0, np.int64)
             held += [numbers[at] * (2 * n) + c[at - 1], numbers[at] * (2 * n) + n + c[at + 1]]
             size += 2 * len(at)
             if size > CONTEXTS:
@@ -517,22 +518,32 @@ class ClassModel:
         return np.where(cls == 0, 0.0, np.log10(np.maximum(counts - self.discount, 1e-9)) - self.size[cls])
 
 
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select("text", F.col("doc_id").try_cast("long").alias("doc_id"), *more)
+
+
 class Trained:
     """All that scoring needs: the lexicon with classes, the model, and the table of all other words."""
 
-    def __init__(self, train: DataFrame, hot_words: int = HOT_WORDS, hot_units: int = HOT_UNITS, classes: int = CLASSES):
-        context, n = train.sparkSession.sparkContext, classes + 1
-        texts = train.select("text")
+    def __init__(self, train: DataFrame | Column, hot_words: int = HOT_WORDS, hot_units: int = HOT_UNITS, classes: int = CLASSES, docs: DataFrame | None = None):
+        """train: a table of texts, or which rows of docs are learnt from; then `numbers` are those of all docs."""
+        own = isinstance(train, Column)
+        rows = keyed(docs, F.coalesce(train, F.lit(False)).alias("learns")) if own else train.select("text")
+        context, n = rows.sparkSession.sparkContext, classes + 1
+        texts = rows.filter("learns").select("text") if own else rows
         vocab = vocabulary(texts)
         self.tokens, self.distinct, once, twice = vocab.agg(
             F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
         ).first()
         self.lexicon = lexicon = Lexicon(*frequent_words(vocab, hot_words))
-        numbers = numbered(texts, context.broadcast(lexicon))
+        numbers = numbered(rows, context.broadcast(lexicon))
+        self.numbers = numbers if own else None
+        if own:
+            numbers = numbers.filter("learns")
         own = cluster(numbers, lexicon, hot_units, classes)
         self.own = own[:-1]
         shared = context.broadcast((own, n))
-        found = numbers.select("numbers").mapInArrow(_contexts(shared), "id int, cell int, n int").filter("id < 0")
+        found = numbers.select("numbers").mapInArrow(_contexts(shared, False), "id int, cell int, n int").filter("id < 0")
         table = _square(found.groupBy("cell").agg(F.sum("n").alias("n")).toPandas(), n)
         self.rare, table = rare_classes(numbers, own, table)
         self.table, sizes, words = table[:classes, :classes], np.zeros(classes), np.zeros(classes)
@@ -556,18 +567,17 @@ def _sequence(state):
         from pyspark import TaskContext
 
         lexicon, own, model, floor = state.value
-        index, task, row = lexicon.index, TaskContext.get().partitionId() << 40, 0
+        task, row = TaskContext.get().partitionId() << 40, 0
         base, emit = np.log10(lexicon.counts + 1.0) + floor, model.emit(own, lexicon.counts)
         classes = np.append(own, RARE).astype(np.uint8)  # the last place is that of number -1
         base, emit = np.append(base, 0.0), np.append(emit, 0.0)
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 out: list[list] = [[] for _ in range(9)]
-                for key, text in zip(batch.column(0).slice(i, SLICE).to_pylist(), batch.column(1).slice(i, SLICE), strict=True):
-                    words = words_of(text.as_py())
-                    at = _numbers(index, words)
+                for key, numbers, words in zip(*(batch.column(c).slice(i, SLICE) for c in ("doc_id", "numbers", "rare")), strict=True):
+                    key, at = key.as_py(), np.frombuffer(numbers.as_buffer(), np.int32)
                     places: dict[bytes, int] = {}
-                    where = [places.setdefault(words[j], len(places)) for j in np.flatnonzero(at < 0)]
+                    where = [places.setdefault(w, len(places)) for w in words.values.to_pylist()]
                     known = len(at) - len(where) if lexicon.counts[0] else 0
                     values = (
                         task + row, key, len(at), known, float(base[at].sum()), float(emit[at].sum()),
@@ -621,12 +631,16 @@ def _resolve(state):
     return run
 
 
-def score_texts(docs: DataFrame, train: DataFrame, hot_words: int = HOT_WORDS, hot_units: int = HOT_UNITS, classes: int = CLASSES) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity of every text of docs, learnt from train."""
-    trained = Trained(train, hot_words, hot_units, classes)
+def score_texts(docs: DataFrame, train: DataFrame | Column, hot_words: int = HOT_WORDS, hot_units: int = HOT_UNITS, classes: int = CLASSES) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity of every text of docs, learnt from train: a table, or the
+    rows of docs that a condition holds for."""
+    trained = Trained(train, hot_words, hot_units, classes, docs)
     floor = -float(np.log10(trained.tokens + trained.distinct + 1.0))
     state = docs.sparkSession.sparkContext.broadcast((trained.lexicon, trained.own, trained.model, floor))
-    rows = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(_sequence(state), SEQUENCES)
+    numbers = trained.numbers
+    if numbers is None:
+        numbers = numbered(keyed(docs), docs.sparkSession.sparkContext.broadcast(trained.lexicon))
+    rows = numbers.select("doc_id", "numbers", "rare").mapInArrow(_sequence(state), SEQUENCES)
     rows = written(rows, "lm-sequences", {"compression": "zstd"})
     words = rows.select("rid", F.posexplode("rare").alias("k", "word")).join(trained.rare, "word")
     found = words.groupBy("rid").agg(F.collect_list(F.struct("k", "class", "c")).alias("found"))  # a text's own words

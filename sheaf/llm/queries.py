@@ -22,7 +22,7 @@ def op1_class_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 7) == 2
-    return score_texts(docs, docs.filter(~held_out)).withColumn("held_out", held_out)
+    return score_texts(docs, ~held_out).withColumn("held_out", held_out)
 
 
 def op2_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,3 +174,13 @@ def test_words_among_rare_words_join_their_kind(spark):
 def test_cells_of_a_word_are_merged():
     cell, n, starts = B._merged(np.array([1, 0, 1, 1]), np.array([3, 2, 3, 9]), np.array([2, 1, 5, 0]), 3, 5)
     assert [(cell[a:b].tolist(), n[a:b].tolist()) for a, b in zip(starts, [*starts[1:], len(cell)], strict=True)] == [([0, 2], [0, 1]), ([0, 3], [0, 7]), ([0], [0])]
+
+
+def test_learning_from_rows_of_the_same_table(spark, small, odd):
+    """A condition on the rows gives what the table of these rows gives; rows for which it is null are not learnt from."""
+    for docs, rows in ((small.limit(60).cache(), "doc_id % 3 > 0"), (odd, "doc_id % 2 = 0")):
+        want = B.score_texts(docs, docs.filter(rows), 30, 10, 6).collect()
+        got = B.score_texts(docs, B.F.expr(rows), 30, 10, 6).collect()
+        assert len(got) == len(want) == docs.count()
+        plain = [sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in x), key=str) for x in (got, want)]
+        assert plain[0] == plain[1]
