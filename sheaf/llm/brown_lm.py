@@ -446,15 +446,15 @@ def _exchange_classes(shared):
     return run
 
 
-def _beside(table: np.ndarray, words: DataFrame) -> np.ndarray:
-    """The table of class bigrams with the words (class, around) beyond the lexicon next to words of it."""
-    table, n = table.copy(), len(table)
-    around = words.select("class", F.inline("around")).groupBy("class", "around").agg(F.sum("n").alias("n"))
-    sides = around.select("class", "n", F.explode(F.array(F.expr(f"around div {n}"), F.expr(f"{n} + around % {n}"))).alias("cell"))
-    for c, cell, m in sides.groupBy("class", "cell").agg(F.sum("n")).collect():  # at most classes * 2 (classes + 1) rows
+def _beside(table: np.ndarray, words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The class bigrams of words (paired, class, around) beyond the lexicon next to words of it: of those not paired, and of the paired."""
+    out, n = np.zeros((2, *table.shape), np.int64), len(table)
+    around = words.select("paired", "class", F.inline("around")).groupBy("paired", "class", "around").agg(F.sum("n").alias("n"))
+    sides = around.select("paired", "class", "n", F.explode(F.array(F.expr(f"around div {n}"), F.expr(f"{n} + around % {n}"))).alias("cell"))
+    for paired, c, cell, m in sides.groupBy("paired", "class", "cell").agg(F.sum("n")).collect():  # at most 2 * classes * 2 (classes + 1) rows
         if cell % n < n - 1:
-            table[(cell, c) if cell < n else (c, cell - n)] += m
-    return table
+            out[(int(paired), cell, c) if cell < n else (int(paired), c, cell - n)] += m
+    return out[0], out[1]
 
 
 def _linked(table: np.ndarray, links: DataFrame) -> np.ndarray:
@@ -477,7 +477,8 @@ def rare_classes(numbers: DataFrame, own: np.ndarray, table: np.ndarray) -> tupl
     table = table.copy()
     table[-1], table[:, -1] = 0, 0
     done, paired = rare.filter("not paired"), rare.filter("paired")
-    table = _beside(table, done)
+    alone, beside = _beside(table, rare)
+    table += alone
     if paired.isEmpty():
         return done.select("word", "c", "class"), table
     links = paired.select(F.col("id").alias("a"), F.col("class").alias("before"), F.inline("around")).filter("next is not null")
@@ -486,13 +487,13 @@ def rare_classes(numbers: DataFrame, own: np.ndarray, table: np.ndarray) -> tupl
     near = links.select(F.expr(f"inline(array(struct(a as id, {n} + after as cell, n), struct(b as id, before as cell, n)))"))
     near = near.repartition("id").groupBy("id", "cell").agg(F.sum("n").alias("n")).groupBy("id").agg(F.collect_list(F.struct("cell", "n")).alias("near"))
     slim = paired.withColumn("around", F.expr("transform(around, x -> struct(x.around, x.n))")).join(near, "id")
-    state = context.broadcast(_linked(_beside(table, paired), links))
+    state = context.broadcast(_linked(table + beside, links))
     schema = "word binary, id long, c long, class int, around array<struct<around:int,n:bigint>>"
     moved = written(slim.drop("paired").mapInArrow(_exchange_classes(state), schema), "lm-rare-paired")
     for end, side in (("a", "before"), ("b", "after")):
         links = links.drop(side).join(moved.select(F.col("id").alias(end), F.col("class").alias(side)), end)
     columns = ["word", "c", "class"]
-    return done.select(columns).union(moved.select(columns)), _linked(_beside(table, moved), links)
+    return done.select(columns).union(moved.select(columns)), _linked(table + _beside(table, moved.withColumn("paired", F.lit(True)))[1], links)
 
 
 class ClassModel:
